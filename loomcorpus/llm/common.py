@@ -6,6 +6,8 @@ untouched or are ignored. A null text is an empty text everywhere; a null doc_id
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -80,3 +82,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = F.broadcast(part(0, of_0 or per_class).unionAll(part(1, per_class)))
     got = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").toPandas()
     return got.sort_values(["doc_id", "text"], ignore_index=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir. Where that isn't set, as in
+    tests on one machine, below a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = f"{tempfile.gettempdir()}/loomcorpus"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written as Parquet to the shared folder and read from there: computed once, with no lineage,
+    and read by columns."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, pii, quality, rules, token_counts, toxicity
+from . import bpe, common, jaccard, pii, quality, rules, token_counts, toxicity
 
 #: Folds whose labels no fit may read.
 QUALITY_HELD, TOXIC_HELD = (3, 1), (4, 2)
@@ -45,6 +45,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(common.read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -55,5 +59,5 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_pii, op4_toxicity, op5_quality_rules, op6_bpe, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_pii, op4_toxicity, op5_quality_rules, op6_bpe, op7_ngram_jaccard, op8_token_counts)}
 SQL: dict[str, str] = {}

@@ -76,7 +76,8 @@ class Words:
             more = counts[short] > j
             whole[more] = whole[more] * np.uint64(_BASE) + self.hash[self.first[short[more]] + j]
         doc, hashes = np.concatenate((doc, short)), np.concatenate((hashes, mix(whole + counts[short].astype(np.uint64))))
-        order = np.lexsort((hashes, doc))
+        order = np.argsort(hashes)
+        order = order[np.argsort(doc[order].astype(np.uint16 if self.n < 65536 else np.int64), kind="stable")]
         doc, hashes = doc[order], hashes[order]
         keep = np.ones(len(doc), bool)
         keep[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
