@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jaccard, pii, quality, rules, token_counts, toxicity
+from . import ann, bpe, common, jaccard, mixing, pii, quality, rules, secrets, token_counts, toxicity
 
 #: Folds whose labels no fit may read.
 QUALITY_HELD, TOXIC_HELD = (3, 1), (4, 2)
@@ -26,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held(quality.score(docs, model), *QUALITY_HELD)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(common.read(spark, sf_dir, "documents"))
 
@@ -53,11 +57,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    found = secrets.candidates(docs)
+    return secrets.scan(docs, secrets.fit(found.withColumn("label", secrets.weak_labels(found))))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    keys = [F.coalesce(k, F.lit("")).alias(k) for k in ("source", "lang")]
+    return mixed.select("doc_id", *keys, F.col("_topic").alias("topic"), F.col("_probability").alias("probability"), F.col("_selected").alias("selected"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_pii, op4_toxicity, op5_quality_rules, op6_bpe, op7_ngram_jaccard, op8_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ann, op3_pii, op4_toxicity, op5_quality_rules, op6_bpe, op7_ngram_jaccard, op8_token_counts, op9_secrets, op10_mixing)}
+SQL: dict[str, str] = {"op10_mixing": mixing.oracle_sql()}
