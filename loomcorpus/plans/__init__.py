@@ -1,0 +1,4 @@
+"""Queries by area; importing this registers them all."""
+
+from . import chat, corpus, metrics, packing, retrieval, runs, tokens  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
