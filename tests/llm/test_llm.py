@@ -1,0 +1,394 @@
+"""Training-data operators against brute force, their libraries, exact round trips or held-out labels."""
+
+import collections
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from loomcorpus.llm import ann, bpe, graph, jaccard, mixing, pii, quality, queries, rules, secrets, stages, token_counts, toxicity
+
+SMALL = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = ["", " ", "\n\n", "a", "é", "a b\na b\na b", "x\x0by\x0cz", "*|* #", "́ á Å", "a<|endoftext|>b <|startoftext|>", "x y 　z\x1c q", "q" * 5000, "ÀÉΣ ΣΑΣ İI'll don't", "\n\n\ta  b\r\n", "中文字符" * 300, "one two three four"]
+
+
+def docs_of(spark, texts, ids=None, **more):
+    rows = [(None if ids is None and t is ... else (ids[i] if ids else i), None if t is ... else t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return [r[0] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+
+
+# Tokens
+
+
+def test_counts_equal_the_library(real, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_counts, "PIECE_BYTES", 64)
+    texts = ODD + real[:60]
+    pieces = [len(token_counts.pieces(t, 64)) for t in texts]
+    assert max(pieces) > 5
+    assert token_counts.counter(path)(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_codec_equals_the_library(real, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    monkeypatch.setattr(bpe, "WORDS", 500)  # the caches are emptied on the way
+    monkeypatch.setattr(bpe, "CHUNKS", 20)
+    texts = ODD + real[:60]
+    for start in range(0, len(texts), 7):
+        part = texts[start : start + 7]
+        codec.learn([t.encode() for t in part])
+        for t in part:
+            ids, said = codec.encode(t.encode())
+            want = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert said.decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_chunks_are_cut_alike():
+    r = random.Random(0)
+    passage = bytes(r.randrange(97, 123) for _ in range(6000))
+    a, b = bpe.cuts(b"left " + passage), bpe.cuts(b"something else " + passage)
+    assert len(a) > 5 and {x - 5 for x in a[2:].tolist()} <= {x - 15 for x in b.tolist()}
+
+
+# Rules
+
+
+def _statistics(t):
+    ws = WORD.findall(t)
+    at = collections.defaultdict(list)
+    for i in range(len(ws) - 7):
+        at[tuple(ws[i : i + 8])].append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
+
+
+def test_statistics_equal_brute_force(real):
+    r = random.Random(1)
+    texts = ODD + real[:80] + ["".join(r.choice("ab \né#\n ") for _ in range(r.randint(0, 300))) for _ in range(200)]
+    got = rules.statistics([t.encode() for t in texts])
+    assert [tuple(int(got[k][i]) for k in rules.COUNTS) for i in range(len(texts))] == [_statistics(t) for t in texts]
+
+
+def test_forest_isolates(spark):
+    r = np.random.default_rng(0)
+    x = np.concatenate((r.normal(0, 1, (500, 3)), [[9, 9, 9]]))
+    score = rules.IsolationForest(x).score(x)
+    assert score.argmax() == 500
+    good = [" ".join(r.choice(["this", "that", "some", "word", "other"], 60)) for _ in range(60)]
+    bad = [" ".join(w + "***" for w in r.choice(["thi", "tha", "som", "wor", "oth"], 60)) for _ in range(20)]
+    docs = docs_of(spark, good + bad)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = rules.quality_rules(docs, labels).toPandas()
+    assert got[got.doc_id < 60].kept.mean() > 0.9 and not got[got.doc_id >= 60].kept.any()
+
+
+# Personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _spans(t):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, t):
+            g = m.group()
+            d = [c for c in g if c in "0123456789"]
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in g.split("."))) or (kind == "card" and 13 <= len(d) <= 19 and pii.luhn("".join(d))) or (kind == "phone" and 9 <= len(d) <= 15):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_brute_force(real):
+    r = random.Random(3)
+    parts = ["a@b.c", "@", ".", "1", "255", "256.", "+", "-", " ", "4111 1111-1111 1111", "+1 (555) 123-4567", "é", "1.2.3.4", "%", "x", "٣"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)] + ODD + real
+    for t in texts:
+        assert pii.base_spans(t) == _spans(t)
+
+
+def test_terms_that_disclose(spark):
+    r = random.Random(2)
+    plain = [" ".join(r.choice(["river", "stone", "tree", "road", "house", "cloud"]) for _ in range(30)) for _ in range(200)]
+    near = [f"{r.choice(['river', 'stone'])} {i} Grabowski, reach jan@example.com then {r.choice(['tree', 'road'])} go {i}x" for i in range(5)]
+    copied = ["the Copied words of kim@example.com are here"] * 6
+    got = pii.spans(docs_of(spark, plain + near + copied)).collect()
+    terms = {r["doc_id"]: r["added"] for r in got}
+    assert len(got) == 211
+    for i in range(5):
+        text, span = near[i], terms[200 + i]
+        assert [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in span)][:1] == ["Grabowski"]
+    assert not any(terms[i] for i in range(200)) and not any(terms[205 + i] for i in range(6))
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs_of(spark, plain + near + copied)).collect()}
+    assert masked[0] == plain[0] and "Grabowski" not in masked[200] and "[EMAIL]" in masked[200] and masked[205] == "the Copied words of [EMAIL] are here"
+
+
+def test_many_terms_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TERMS", 1)
+    docs = docs_of(spark, ["a b b", "b, c", "c", ...])
+    terms = spark.createDataFrame([("a",), ("b",), ("z",)], "term string")
+    assert {tuple(r) for r in pii.term_counts(docs, terms).select("term", "held").collect()} == {("a", 1), ("b", 2)}
+
+
+# Similarity
+
+
+def _components(rows):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset([tuple(w)]) if 0 < len(w) < 5 else frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+@pytest.mark.parametrize("pivots", [0, 2])
+def test_join_equals_brute_force(spark, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    r = random.Random(4)
+    texts = ["", "  ", "one two", "ONE two", "one  two\n", "three"]
+    for _ in range(6):
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.randint(30, 120))]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(r.randint(0, 4)):
+                copy[r.randrange(len(copy))] = f"v{r.randint(0, 9)}"
+            texts.append(" ".join(copy if r.random() < 0.8 else [f"x{k}" for k in range(r.randint(1, 30))] + copy))
+    common_line = " ".join(f"line{k}" for k in range(12))
+    texts += [f"{common_line} " + " ".join(f"u{r.randint(0, 10**6)}" for _ in range(r.randint(2, 8))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == _components(rows)
+
+
+def test_join_on_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "A B C D E F"), (4, None), (None, ""), (9, "q")], "doc_id long, text string").withColumn("part", F.lit(1)).withColumn("node", F.lit("x"))
+    got = sorted(map(tuple, jaccard.join(docs).collect()), key=str)
+    assert got == sorted([(None, 2, 3), (3, 2, 3), (3, 2, 3), (4, 0, 4), (None, 0, None), (9, 1, 9)], key=str)
+    assert jaccard.join(docs.where("doc_id > 99")).count() == 0
+
+
+def test_graph(spark):
+    r = random.Random(5)
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
+
+
+# Nearest neighbours
+
+
+def test_ann_recall_and_measure(spark):
+    r = np.random.default_rng(6)
+    x = np.concatenate((r.normal(size=(1500, 16)), np.repeat(r.normal(size=(1, 16)), 300, 0))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (None, [1.0] * 16), (5300, [1.0] * 3), (100, x[100].tolist())], "vec_id long, embedding array<float>")
+    got = ann.nearest(rows, F.col("vec_id") % 100 == 0, k=10).toPandas()
+    assert set(got.query_id) == set(range(0, 1800, 100)) and (got.groupby("query_id").size() == 10).all()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:10]
+        g = g.sort_values("rank")
+        assert np.allclose(g.score, d[g.vec_id]) and (np.diff(g.score) >= 0).all() and q not in set(g.vec_id)
+        hit += len(set(want) & set(g.vec_id))
+        if q >= 1500:
+            assert g.vec_id.tolist() == want.tolist()  # equal vectors: the smallest ids
+    assert hit / 180 >= 0.9
+
+
+def test_ann_few_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.nearest(rows, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 2, 2.0)]
+    assert ann.nearest(rows.where("vec_id > 9"), F.col("vec_id") == 0).count() == 0
+
+
+# Classifiers
+
+
+def test_held_out_quality(spark):
+    got = queries.op1_quality(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() > 0.95
+
+
+def test_held_out_toxicity(spark):
+    got = queries.op4_toxicity(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.predicted == held.toxic).mean() > 0.85
+
+
+def test_kernel_weights_equal_the_kernel():
+    def kernel(s, t):
+        a, b = (dict(zip(*(x.tolist() for x in p), strict=True)) for p in toxicity._sparse([s, t]))
+        return sum(v * b.get(k, 0) for k, v in a.items())
+
+    def plain(s, t):
+        code = lambda w: [toxicity.START, *map(toxicity._letter, w), toxicity.END]
+        import itertools
+
+        def features(w):
+            out = collections.Counter()
+            c = code(w)
+            for at in itertools.combinations(range(len(c)), toxicity.ORDER):
+                if at[-1] - at[0] < toxicity.SPAN:
+                    out[tuple(c[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+            return out
+
+        a, b = features(s), features(t)
+        n = toxicity.norm(np.array([len(s) + 2, len(t) + 2], float))
+        return sum(v * b[k] for k, v in a.items()) / n[0] / n[1]
+
+    for s, t in (("idiot", "id-iot"), ("moron", "mormon"), ("abc", "xyz"), ("aa", "aaaa")):
+        assert abs(kernel(s, t) - plain(s, t)) < 1e-9
+
+
+def test_gapped_insults():
+    r = random.Random(7)
+    say = lambda: " ".join(r.choice(["river", "stone", "tree", "road", "house", "cloud", "green", "over"]) + "." * (r.random() < 0.2) for _ in range(30))
+    texts = [say() for _ in range(80)] + [say() + f" {r.choice(['blasted', 'grumpus'])} " + say() for _ in range(40)]
+    model = toxicity.learn(texts, np.array([0] * 80 + [1] * 40))
+    clean, plain, gapped, spaced = model.score(["river tree stone house", "you grumpus", "you gr-um.pus", "you g r u m p u s"])
+    assert clean < 0.3 <= min(plain, gapped, spaced)
+    assert model.score(["", "..."]).max() < 0.3
+
+
+def test_classifiers_without_labels(spark):
+    docs = docs_of(spark, ["a b", ...])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()] == [0.5, 0.5]
+    assert [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [0.0, 0.0]
+    assert rules.quality_rules(docs, labels).count() == 2
+
+
+def test_attention_gradient_learns():
+    r = np.random.default_rng(8)
+    bags = [r.normal(size=(r.integers(1, 9), 4)) for _ in range(300)]
+    y = np.array([float(b[:, 0].max() > 1.2) for b in bags])
+    model = quality.AttentionMIL(4).fit(bags[:200], y[:200])
+    doc = np.repeat(np.arange(100), [len(b) for b in bags[200:]])
+    assert ((model.score(np.concatenate(bags[200:]), doc) >= 0.5) == y[200:]).mean() > 0.85
+
+
+# Secrets and mixing
+
+
+def test_secrets(spark):
+    r = random.Random(9)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"some words then {x} and more" for _ in range(40) for x in (f"password={hexes(18)}", f'token = "{hexes(40)}"', "AKIA" + "".join(r.choice("ABCDEFGHIJ234567") for _ in range(16)), str(r.randint(10**15, 10**16)), f"some.name{r.randint(0, 99)}.longer@mail1.example.com")]
+    docs = docs_of(spark, [*texts, "", ..., "x" * 200_000])
+    found = secrets.candidates(docs)
+    got = secrets.scan(docs, secrets.fit(found.withColumn("label", secrets.weak_labels(found)))).toPandas()
+    truth = got.doc_id.map(lambda i: i % 5 < 3)
+    assert (got.is_secret == truth).all() and set(got.doc_id) >= {i for i in range(200) if i % 5 < 4}
+    assert secrets.scan(docs, secrets.fit(found.where("doc_id < 0").withColumn("label", F.lit(1)))).where("NOT is_secret").count() == 0
+
+
+def test_mixing_equals_its_sql(spark):
+    got = queries.op10_mixing(spark, SMALL).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = con.execute(mixing.oracle_sql()).df()
+    columns = sorted(got.columns)
+    pd.testing.assert_frame_equal(got[columns].sort_values(columns, ignore_index=True), want[columns].sort_values(columns, ignore_index=True))
+
+
+def test_raking_meets_the_targets(spark):
+    r = random.Random(10)
+    docs = spark.createDataFrame([(i, r.choice("ab"), r.choice("xyz"), "word " * r.randint(1, 9)) for i in range(600)] + [(None, None, None, None)], "doc_id long, source string, lang string, text string").withColumn("_topicx", F.lit(1))
+    share = spark.createDataFrame([("a", 0.8), ("b", 0.2)], "source string, share double")
+    mixed = mixing.mix(docs, {"source": share, "lang": 0.0}).where("text IS NOT NULL")
+    sums = mixed.groupBy("source").agg(F.sum(mixing.tokens(F.col("text")) * F.col("_probability")).alias("w")).toPandas().set_index("source").w
+    assert abs(sums["a"] / sums.sum() - 0.8) < 1e-3
+    langs = mixed.groupBy("lang").agg(F.sum(mixing.tokens(F.col("text")) * F.col("_probability")).alias("w")).toPandas().w
+    assert langs.max() / langs.min() < 1.01
+    assert mixing.mix(docs, {"source": share}).count() == 601 and mixing.mix(docs.where("doc_id < 0")).count() == 0
+
+
+# All together
+
+
+def test_odd_rows_everywhere(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40), (1, "a b " * 40), (None, None), (2, ""), (3, "w " * 60_000)], "doc_id long, text string")
+    docs = docs.select("*", F.lit(None).cast("string").alias("source"), F.lit("en").alias("lang"), F.lit(0).alias("score"), F.lit("z").alias("found"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    code, words = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    made = [token_counts.count_tokens(docs, code), bpe.encode(docs, words), bpe.digest(docs, words), pii.digest(docs), rules.quality_rules(docs, labels), quality.score(docs, quality.fit(docs, labels)), toxicity.score(docs, toxicity.fit(docs, labels)), mixing.mix(docs), jaccard.join(docs), pii.redact(docs)]
+    assert [df.count() for df in made] == [5] * len(made)
+    none = docs.where("doc_id > 9")
+    made = [token_counts.count_tokens(none, code), bpe.digest(none, words), pii.digest(none), rules.quality_rules(none, labels), mixing.mix(none), jaccard.join(none), secrets.candidates(none)]
+    assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = stages.near_duplicates(spark, docs, SMALL)
+    want = {i for i, (_, c) in _components([tuple(r) for r in docs.select("doc_id", "text").collect()]).items() if i == c}
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
+    masked = stages.pii(spark, docs, SMALL)
+    assert masked.columns == docs.columns and all(not pii.base_spans(r["text"]) for r in masked.collect())
+    assert stages.mixture(spark, docs, SMALL).columns == docs.columns
+    calm = stages.toxicity(spark, docs, SMALL)
+    assert calm.columns == docs.columns and 0 < calm.count() <= docs.count()
+    row = stages.bpe(spark, docs.limit(3), SMALL).orderBy("doc_id").first()
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    text = docs.where(F.col("doc_id") == row["doc_id"]).first()["text"]
+    assert np.array(row["ids"], "<u4").tobytes() == codec.encode(text.encode())[0]
+
+
+def test_digests(spark):
+    got = {r["doc_id"]: r for r in queries.op6_bpe(spark, SMALL).limit(5).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, r in got.items():
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
