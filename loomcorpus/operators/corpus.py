@@ -90,7 +90,7 @@ def strip_sections(text):
 def chunk_starts(n, size: int, overlap: int):
     """Starts of chunks of `size` tokens that lap over by about `overlap` and end with the last token: none for fewer
     tokens than a chunk. The number of chunks is rounded half to even."""
-    k = F.bround((n - size) / F.lit(float(size - overlap)), 0).cast("long") + 1
+    k = F.bround((n - size) / F.lit(size - overlap).cast("double"), 0).cast("long") + 1
     spread = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.floor(i * (n - size) / F.greatest(k - 1, F.lit(1))).cast("long"))
     return F.when(n < size, F.array().cast("array<long>")).when(k <= 1, F.array(F.lit(0).cast("long"))).otherwise(spread)
 
