@@ -80,10 +80,12 @@ class Codec:
 
     def learn(self, texts: list[bytes]) -> None:
         """Encodes the words of the texts that aren't kept yet, many at a time, parted by blanks."""
-        new = [w for w in set().union(*map(bytes.split, texts)).difference(self.ids) if len(w) <= WORD_MAX]
+        here = {w for w in set().union(*map(bytes.split, texts)) if len(w) <= WORD_MAX}
+        new = list(here.difference(self.ids))
         if len(self.ids) + len(new) > WORDS:
             self.ids.clear()
             self.said.clear()
+            new = list(here)
         said = [w.decode("utf-8", "replace") for w in new]
         parts = [said[k : k + 64] for k in range(0, len(said), 64)]
         codes = self.library.encode_batch([" ".join(x) for x in parts], add_special_tokens=False)
