@@ -7,11 +7,12 @@ set; a fragment counts, for its shingles alone, in how many sets each stands, an
    shingles with any others has no link at all, and drops out, by counts alone.
 2. What is left is ordered by frequency. Two sets that link have a shingle in common among the rarest of
    each (the prefix filter), so sets meet by these shingles only, rare ones first: a line that all the corpus shares
-   brings nobody together.
+   brings nobody together. What can still follow a shingle in either order bounds their overlap (the positional
+   filter), and pairs that can't reach PERCENT are never made.
 3. Candidate pairs are counted fragment by fragment, each partial overlap on its own, and summed per pair.
 
 Groups of near copies are never expanded into pairs. The sets that meet at a shingle are first compared with
-one of them, the same for most shingles of a group, and what links falls together; this is done PIVOTS
+one of them, the one with the fewest shingles of its own, and what links falls together; this is done PIVOTS
 times, with another one each time. Only sets that meet at a shingle and are still apart are then compared in
 full, all of them, so no link between different components is missed. Sets of equal shingles are one set from the start.
 
@@ -38,7 +39,7 @@ WORDS, PERCENT = 5, 80
 #: Rounds of comparing with one set only; fragments that a pair's overlap is counted in.
 PIVOTS, PARTS = 2, 4
 #: Bytes of text that are cut up together.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -148,13 +149,13 @@ def _count(fragments: int):
     return run
 
 
-_KEPT = "doc_id long, node long, n long, part int, tokens binary, prefix array<long>"
+_KEPT = "doc_id long, node long, n long, own long, part int, tokens binary, prefix array<long>"
 
 
 def _survivors(percent: int):
     """Sums the counts of each set; of those that can link, a row a part with the shared shingles, the first with
-    the prefix. The texts' rows come out as (doc_id, node, n), part -1."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    the prefix; own: how many shingles no other set has. The texts' rows come out as (doc_id, node, n), part -1."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed, by = _gather(batches)
@@ -162,7 +163,7 @@ def _survivors(percent: int):
             node, size, ids = (np.frombuffer(row[k], "<i8") for k in ("nodes", "sizes", "ids"))
             n = len(node)
             yield pa.record_batch(
-                [pa.array(ids, mask=ids == -(2**63)), pa.array(node, mask=node == 0), pa.array(size), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], schema=schema
+                [pa.array(ids, mask=ids == -(2**63)), pa.array(node, mask=node == 0), pa.array(size), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], schema=schema
             )
         for part in list(by):
             nodes, sizes, counts, hashes, times = (np.frombuffer(b"".join(x), k) for x, k in zip(by.pop(part), ("<u8", "<u4", "<u4", "<u8", "<u4"), strict=True))
@@ -184,7 +185,7 @@ def _survivors(percent: int):
                 rank = np.sort(own)
                 cut = np.searchsorted(rank, [np.uint64(k << 62) for k in range(PARTS)][1:])
                 for k, piece in enumerate(np.split(rank, cut)):
-                    rows.append({"doc_id": None, "node": int(all_nodes[i].astype(np.int64)), "n": n, "part": k, "tokens": piece.tobytes(), "prefix": own[: max(0, first)].view(np.int64).tolist() if k == 0 else None})
+                    rows.append({"doc_id": None, "node": int(all_nodes[i].astype(np.int64)), "n": n, "own": n - len(own), "part": k, "tokens": piece.tobytes(), "prefix": own[: max(0, first)].view(np.int64).tolist() if k == 0 else None})
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
@@ -209,9 +210,10 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> D
     return total.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _sized(percent: int, n: str = "n", m: str = "m"):
-    """Sizes that let two sets link."""
-    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+def _reach(percent: int):
+    """What stands from a shared shingle on, in the order of either set (pos of n, and at of m), is enough for them to link."""
+    least = F.lit(percent) * (F.col("n") + F.col("m"))
+    return (F.lit(100 + percent) * (F.col("n") - F.col("pos")) >= least) & (F.lit(100 + percent) * (F.col("m") - F.col("at")) >= least)
 
 
 def _pair(x: str, y: str) -> tuple:
@@ -227,7 +229,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     kept = common.keep(counted.repartitionById(fragments, F.col("part")).mapInArrow(_survivors(percent), _KEPT), "sets")
     texts = kept.where("part = -1").select("doc_id", "n", "node")
     segments = kept.where("part >= 0").select("node", "n", "part", "tokens")
-    postings = kept.where("part = 0").select("node", "n", F.explode("prefix").alias("token"))
+    postings = kept.where("part = 0").select("node", "n", "own", F.posexplode("prefix").alias("_i", "token")).select("node", "n", "own", "token", (F.col("own") + F.col("_i")).alias("pos"))
     labels = components(spark, postings, segments, percent)
     labelled = texts.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     linked = labelled.where("label is not null")
@@ -241,17 +243,17 @@ def components(spark, postings: DataFrame, segments: DataFrame, percent: int) ->
     links = labels = tried = None
     for turn in range(PIVOTS + 1):
         here = postings.withColumn("label", F.col("node")) if labels is None else postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("n"), F.col("label"))
+        order = F.struct("own", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "label") if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("n"), F.col("pos"), F.col("label"))
         open_ = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("p")).where("low <> high")
         if turn < PIVOTS:
-            met = here.join(open_.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.label").alias("own")), "token").where(F.col("label") != F.col("own"))
+            met = here.join(open_.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.label").alias("other_label")), "token").where(F.col("label") != F.col("other_label"))
         else:
             # All that is still apart: by the components that meet at a shingle, then the sets in these.
             apart = here.join(open_.select("token"), "token", "left_semi")
             groups = apart.select("token", "label").distinct()
-            meet = groups.join(groups.select("token", F.col("label").alias("own")), "token").where(F.col("label") < F.col("own"))
-            met = meet.join(apart, ["token", "label"]).join(apart.select("token", F.col("label").alias("own"), F.col("node").alias("other"), F.col("n").alias("m")), ["token", "own"])
-        pairs = met.where(_sized(percent)).select(*_pair("node", "other")).distinct()
+            meet = groups.join(groups.select("token", F.col("label").alias("other_label")), "token").where(F.col("label") < F.col("other_label"))
+            met = meet.join(apart, ["token", "label"]).join(apart.select("token", F.col("label").alias("other_label"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at")), ["token", "other_label"])
+        pairs = met.where(_reach(percent)).select(*_pair("node", "other")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = common.keep(pairs, "pairs")
