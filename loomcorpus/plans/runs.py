@@ -45,9 +45,9 @@ def _sweep(spark, sf_dir):
 
 
 @query(f"""WITH {_SWEEP}, c AS (SELECT budget, avg(x) AS c FROM s GROUP BY 1), z AS (SELECT s.*, c, x - c AS z FROM s JOIN c USING (budget)),
-t AS (SELECT budget, any_value(c) AS c, count(*) AS n, sum(z*z) AS s2, sum(z*z*z) AS s3, sum(z*z*z*z) AS s4, sum(y) AS t0, sum(z*y) AS t1, sum(z*z*y) AS t2 FROM z GROUP BY budget),
+t AS (SELECT budget, any_value(c) AS c, count(*) AS n, count(DISTINCT x) AS d, min_by(x, {{'y': y, 'x': x}}) AS rx, min(y) AS ry, sum(z*z) AS s2, sum(z*z*z) AS s3, sum(z*z*z*z) AS s4, sum(y) AS t0, sum(z*y) AS t1, sum(z*z*y) AS t2 FROM z GROUP BY budget),
 a AS (SELECT *, (n*(s2*t2-s3*t1)-s2*s2*t0)/(n*(s2*s4-s3*s3)-s2*s2*s2) AS a FROM t), b AS (SELECT *, (t1-a*s3)/s2 AS b, (t0-a*s2)/n AS c0 FROM a)
-SELECT budget, n, round(c - b/(2*a), 5) AS best_x, round(c0 - b*b/(4*a), 5) AS best_y FROM b WHERE a > 0""")
+SELECT budget, n, round(CASE WHEN d >= 3 AND a > 0 THEN c - b/(2*a) ELSE rx END, 5) AS best_x, round(CASE WHEN d >= 3 AND a > 0 THEN c0 - b*b/(4*a) ELSE ry END, 5) AS best_y FROM b""")
 def isoflop_quadratic(spark, sf_dir):
     return R.quadratic(_sweep(spark, sf_dir), "budget").select("budget", "n", F.round("best_x", 5).alias("best_x"), F.round("best_y", 5).alias("best_y"))
 
