@@ -29,6 +29,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that make its context; share of the information content; different contexts needed.
 REACH, DISCLOSURE, SUPPORT = 6, 0.9, 3
+#: So many terms at most are sent to the tasks, or counted by one of them before it writes out.
+TERMS = 50_000
 #: What redaction puts in place of a span.
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,10 +136,10 @@ def detect(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, held: in how many documents each of `terms` stands, over all of `docs`.
 
-    Each task counts the distinct words of its documents before anything is shuffled, and writes out in
-    between, so its memory is bounded; the counts then meet the terms by a join.
+    Up to TERMS terms are sent to the tasks, which count these alone. More meet the counts of all words by a join. Either way
+    a task adds up its documents before anything is shuffled, and writes out in between, so its memory is bounded.
     """
-    most = 200_000
+    wanted = frozenset(r["term"] for r in terms.collect()) if terms.count() <= TERMS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -149,20 +151,24 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update({w.strip(_EDGE) for w in set(_WORD.findall((text.as_py() or "").lower()))})
-                if len(counts) >= most:
+                words = {w.strip(_EDGE) for w in set(_WORD.findall((text.as_py() or "").lower()))}
+                counts.update(words if wanted is None else words & wanted)
+                if len(counts) >= TERMS:
                     yield out()
         if counts:
             yield out()
 
     counted = docs.select("text").mapInArrow(run, "term string, n long")
-    return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("held"))
+    if wanted is None:
+        counted = counted.join(terms, "term", "left_semi")
+    return counted.groupBy("term").agg(F.sum("n").alias("held"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term) pairs whose mutual information discloses the entity, from counts over all of `docs`."""
     near = found.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
+    pairs = common.keep(pairs, "pairs")
     entities = near.groupBy("entity").agg(F.count_distinct("context").alias("seen"))
     held = term_counts(docs, pairs.select("term").distinct())
     total = F.lit(float(max(1, docs.count())))
@@ -178,7 +184,7 @@ def spans(docs: DataFrame) -> DataFrame:
     Only documents with an entity take part in joins. Rows of one doc_id are told apart by their spans, so
     repeated rows stay.
     """
-    found = detect(docs)
+    found = common.keep(detect(docs), "found")
     pairs = disclosing(docs, found)
     rows = found.where(F.size("near") > 0)
     terms = (
@@ -200,7 +206,7 @@ def redact(docs: DataFrame) -> DataFrame:
     The spans found around entities decide which terms go; the base spans go always. Only the pairs are
     joined to the texts, and only to texts with entities.
     """
-    pairs = disclosing(docs, detect(docs))
+    pairs = disclosing(docs, common.keep(detect(docs), "found"))
     columns = docs.columns
     mask = F.pandas_udf(_mask, "string")
     marked = docs.withColumn("_near", F.pandas_udf(_entities, "array<string>")("text"))
