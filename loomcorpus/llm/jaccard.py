@@ -230,7 +230,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     texts = kept.where("part = -1").select("doc_id", "n", "node")
     segments = kept.where("part >= 0").select("node", "n", "part", "tokens")
     postings = kept.where("part = 0").select("node", "n", "own", F.posexplode("prefix").alias("_i", "token")).select("node", "n", "own", "token", (F.col("own") + F.col("_i")).alias("pos"))
-    labels = components(spark, postings, segments, percent)
+    labels = components(spark, common.keep(meeting(postings, percent), "postings"), segments, percent)
     labelled = texts.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     linked = labelled.where("label is not null")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -238,6 +238,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return done.unionAll(labelled.where("label is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
+def meeting(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings from which enough is left to link with even the smallest of the sets that meet at their shingle."""
+    least = postings.groupBy("token").agg(F.min("n").alias("_m"), F.count("*").alias("_c")).where("_c > 1")
+    enough = F.lit(100 + percent) * (F.col("n") - F.col("pos")) >= F.lit(percent) * (F.col("n") + F.col("_m"))
+    return postings.join(least, "token").where(enough).drop("_m", "_c")
+
+
 def components(spark, postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(node, label) of every set that links with another; the label is the same for all that links reach."""
     links = labels = tried = None
