@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of an Arrow function looks at together; a longer text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The ASCII white space that parts words: [\x20\x09-\x0D].
 SPACE = b" \t\n\r\x0b\x0c"
@@ -67,8 +67,8 @@ def _arrow(kind: str) -> pa.DataType:
     return {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}[kind]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where: Column | None = None, of_0: int | None = None):
-    """At most `per_class` labelled rows of either class (or `of_0` of label 0) as pandas (doc_id, text, y), in id order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where: Column | None = None, of_0: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of at most `per_class` labelled rows of either class (or `of_0` of label 0), and (doc_id, y).
 
     The rows are those with the smallest hash of their id, so the sample is the same on every run.
     Only their ids, bounded by the parameter, are broadcast. A doc_id with several labels counts with
@@ -77,11 +77,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if where is not None:
         known = known.where(where)
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     part = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = F.broadcast(part(0, of_0 or per_class).unionAll(part(1, per_class)))
-    got = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").toPandas()
-    return got.sort_values(["doc_id", "text"], ignore_index=True)
+    picked = keep(part(0, of_0 or per_class).unionAll(part(1, per_class)), "sample")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked.select("doc_id")), "doc_id"), picked
 
 
 def shared_folder(spark: SparkSession) -> str:

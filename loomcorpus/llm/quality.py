@@ -134,13 +134,17 @@ class AttentionMIL:
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> AttentionMIL:
-    """Learns from at most 2 * sample labelled rows (those of `where`)."""
-    rows = common.labelled_sample(docs, labels, "quality", sample, where)
-    bags: list[np.ndarray] = []
-    for k in range(0, len(rows), 500):
-        x, doc = passages([t.encode() for t in rows["text"][k : k + 500]])
-        bags += np.split(x, np.flatnonzero(np.diff(doc)) + 1)
-    return AttentionMIL(1 + len(_CLASSES) + 7).fit(bags, rows["y"].to_numpy(np.float64))
+    """Learns from at most 2 * sample labelled rows (those of `where`), whose passages' features reach the driver."""
+    rows, known = common.labelled_sample(docs, labels, "quality", sample, where)
+    width = 1 + len(_CLASSES) + 7
+
+    def step(texts: list[bytes]) -> dict:
+        x, doc = passages(texts)
+        return {"x": [b.ravel() for b in np.split(x, np.flatnonzero(np.diff(doc)) + 1)]}
+
+    got = common.scan(rows, step, "x array<double>").join(F.broadcast(known), "doc_id").toArrow().sort_by("doc_id")
+    bags = [np.array(b.values).reshape(-1, width) for b in got["x"]]
+    return AttentionMIL(width).fit(bags, got["y"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: AttentionMIL) -> DataFrame:

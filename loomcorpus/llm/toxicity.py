@@ -19,10 +19,13 @@ both classes every score is the share of toxic labels (0 without labels).
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,38 +220,44 @@ def learn(texts: list[str], y: np.ndarray, seed: int = 3) -> KernelMachine:
     if not len(y) or y.min() == y.max():
         return out
     rng = np.random.default_rng(seed)
-    sentences = [[words_of(s) for s in sentences_of(t)] for t in texts]
-    bags = [set().union(*s, words_of(t)) for s, t in zip(sentences, texts, strict=True)]
+    number: dict[str, int] = {}
+    code = lambda ws: np.fromiter((number.setdefault(w, len(number)) for w in sorted(ws)), np.int32)
     # A sentence counts once, so that a word of a much copied document doesn't look like many.
-    seen: dict[str, list[int]] = {}
-    known: set = set()
+    sentences, bags, known, new = [], [], set(), []
     for text, label in zip(texts, y, strict=True):
-        for sentence in {s.strip() for s in sentences_of(text)}:
-            if (sentence, label) not in known:
-                known.add((sentence, label))
-                for w in words_of(sentence):
-                    seen.setdefault(w, [0, 0])[int(label)] += 1
+        own = []
+        for sentence in sentences_of(text):
+            own.append(code(words_of(sentence)))
+            if (key := (hash(sentence.strip()), int(label))) not in known:
+                known.add(key)
+                new.append((own[-1], int(label)))
+        sentences.append([s for s in own if len(s)])
+        bags.append(np.unique(np.concatenate([*own, code(words_of(text))])))
+    words = list(number)
+    seen = np.zeros((2, len(words)))
+    for own, label in new:
+        seen[label, own] += 1
     for bag, label in zip(bags, y, strict=True):
-        for w in bag.difference(seen):
-            seen[w] = [int(not label), int(label)]
+        seen[int(label), bag[seen[:, bag].sum(0) == 0]] = 1
     share = max(1, (y == 1).sum()) / max(1, (y == 0).sum())
-    # How telling a word is before there is a machine: documents of either class that hold it.
-    telling = {w: np.log((b + 0.05) / (a * share + 0.5)) for w, (a, b) in seen.items()}
+    # How telling a word is before there is a machine: sentences of either class that hold it.
+    value = np.log((seen[1] + 0.05) / (seen[0] * share + 0.5))
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    calm = [w for w, (a, b) in seen.items() if a]
-    calm = [calm[i] for i in rng.permutation(len(calm))]
+    calm = [words[i] for i in rng.permutation(np.flatnonzero(seen[0]))[: 2 * WORDS]]
+    is_sure = (seen[0] == 0) & (seen[1] >= max(SURE, SURE_SHARE * len(toxic)))
+    sure = {words[i]: int(seen[1, i]) for i in np.flatnonzero(is_sure)}
     for turn in range(TURNS):
-        value = telling.__getitem__ if turn == 0 else dict(zip(seen, out.values(list(seen)).tolist(), strict=True)).__getitem__
-        held = {w: b for w, (a, b) in seen.items() if not a and b >= max(SURE, SURE_SHARE * len(toxic))}
-        sure = frozenset(held)
+        if turn:
+            value = out.values(words)
+        held = dict(sure)
         for i in toxic:
-            if not sure.isdisjoint(bags[i]):
+            if is_sure[bags[i]].any():
                 continue  # what makes it toxic is known
-            for sentence in sentences[i] + ([bags[i]] if bags[i] else []):
-                best = max(sentence, key=lambda w: (value(w), w), default=None)
+            for sentence in sentences[i] + ([bags[i]] if len(bags[i]) else []):
+                best = int(sentence[value[sentence].argmax()])
                 # A sentence of a toxic document is toxic if its best word is, or if no other of its document is.
-                if best is not None and seen[best][0] == 0 and (value(best) > (1.0 if turn == 0 else 0.0) or sentence is bags[i]):
-                    held[best] = held.get(best, 0) + 1
+                if seen[0, best] == 0 and (value[best] > (1.0 if turn == 0 else 0.0) or sentence is bags[i]):
+                    held[words[best]] = held.get(words[best], 0) + 1
         positive = sorted(held, key=lambda w: (-held[w], w))[:WORDS]
         gapped = {v: 10 for w in positive[:GAPPED] if w in sure for v in variants(w) if v not in held}
         positive += gapped
@@ -256,8 +265,9 @@ def learn(texts: list[str], y: np.ndarray, seed: int = 3) -> KernelMachine:
         if turn == 0:
             negative = calm[:WORDS]
         else:
-            hard = {max(s, key=lambda w: (value(w), w)) for i in clean for s in sentences[i] if s}
-            negative = list(dict.fromkeys(sorted(hard, key=lambda w: (-value(w), w))[: WORDS // 2] + calm[: WORDS // 2]))
+            hard = np.unique([int(s[value[s].argmax()]) for i in clean for s in sentences[i]])
+            hard = [words[i] for i in hard[np.argsort(-value[hard], kind="stable")][: WORDS // 2]] if len(hard) else []
+            negative = list(dict.fromkeys(hard + calm[: WORDS // 2]))
         marks = list(dict.fromkeys(positive[: LANDMARKS // 2] + list(gapped)[: LANDMARKS // 8] + [positive[i] for i in rng.permutation(len(positive))[: LANDMARKS // 16]] + negative[: LANDMARKS // 4] + calm[: LANDMARKS // 4]))[:LANDMARKS]
         parts = _sparse(marks)
         keys = np.unique(np.concatenate([k for k, _ in parts]))
@@ -293,8 +303,17 @@ def learn(texts: list[str], y: np.ndarray, seed: int = 3) -> KernelMachine:
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> KernelMachine:
     """Learns from at most 3 * sample labelled documents (those of `where`)."""
-    rows = common.labelled_sample(docs, labels, "toxic", sample, where, 2 * sample)
-    return learn(rows["text"].tolist(), rows["y"].to_numpy())
+    rows, known = common.labelled_sample(docs, labels, "toxic", sample, where, 2 * sample)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = learn([r[1] for r in got], np.array([r[2] for r in got], np.int64))
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # One task trains on the sample, which the parameter bounds; the driver gets the weights.
+    some = rows.join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    got = some.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else KernelMachine()
 
 
 def score(docs: DataFrame, model: KernelMachine, least: float = 0.3) -> DataFrame:
