@@ -28,7 +28,7 @@ from . import common
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 8
 _SPACES = frozenset(bytes([x]) for x in common.SPACE)
 #: Bounds of the caches. A word longer than WORD_MAX bytes is encoded and not kept.
-WORDS, CHUNKS, WORD_MAX = 500_000, 60_000, 256
+WORDS, CHUNKS, WORD_MAX = 200_000, 20_000, 256
 
 
 def cuts(text: bytes) -> np.ndarray:
