@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, and a random forest that removes what is no secret.
 
 All of it is DataFrame operations and Spark's own machine learning; nothing leaves the JVM. A candidate is a
-word with a core of MIN_LENGTH characters or more, at least one of them a digit. The forest sees its
+run of MIN_LENGTH characters or more within a word, at least one of them a digit; a word may hold several. The forest sees its
 length, its characters' classes and the transitions between them, how many different characters it has,
 how much of it dictionary words cover, whether it looks like a path, and the words next to it.
 
@@ -33,15 +33,36 @@ _ASSIGNED = r"(?i)(password|passwd|pwd|token|secret|api_?key|access_?key)['\"]?\
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_no, word, core, before (two words), after of every candidate. Only texts that hold a run
-    long enough are cut into words."""
+    """doc_id, word_no, run_no, word, core, before, after of every candidate: each run of a word that is long enough and holds a
+    digit. Only texts that hold a run long enough are cut into words.
+
+    The first run of a word has the two words before as its neighbour; a later one has what stands before it in its own word,
+    back to the gap before the last run. `word` is all of the word if it has one run; else what belongs to this run alone, so a
+    long word isn't repeated for each of its runs.
+    """
     likely = docs.where(F.col("text").rlike(_LIKELY)).select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", _SPACE).alias("words"))
     at = lambda i: F.coalesce(F.try_element_at("words", i), F.lit(""))
+    before = lambda i: F.when(i > 1, F.concat(at(i - 1), F.lit(" "), at(i))).when(i == 1, at(F.lit(1))).otherwise("")
     found = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("word"))), lambda x: (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike(_LIKELY))
-    rows = likely.withColumn("x", F.explode(found)).withColumn("i", F.col("x.word_no"))
-    before = F.when(F.col("i") > 1, F.concat(at(F.col("i") - 1), F.lit(" "), at(F.col("i")))).when(F.col("i") == 1, at(F.lit(1))).otherwise("")
-    rows = rows.select("doc_id", F.col("i").alias("word_no"), "x.word", F.regexp_extract("x.word", _CORE, 1).alias("core"), before.alias("before"), at(F.col("i") + 2).alias("after"))
-    return rows.where((F.col("core") != "") & F.col("core").rlike("[0-9]"))
+    found = F.transform(found, lambda x: F.struct(x["word_no"].alias("word_no"), x["word"].alias("whole"), before(x["word_no"]).alias("words_before"), at(x["word_no"] + 2).alias("after")))
+    rows = likely.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    rows = rows.select("doc_id", "word_no", "words_before", "after", F.regexp_extract_all("whole", F.lit(_CORE), F.lit(1)).alias("cores"), F.split("whole", _CORE, -1).alias("gaps"))
+    # gaps[i] stands before cores[i], the last after all. Marks at its end but for = and : open the next run, as the quote in ":"AKIA...
+    gap, run = (lambda i: F.get("gaps", i)), (lambda i: F.get("cores", i))
+    opens = lambda i: F.regexp_extract(F.right(gap(i), F.lit(8)), "[^A-Za-z0-9=:]*$", 0)
+    closes = lambda i: F.when(i + 1 == F.size("cores"), gap(i + 1)).otherwise(F.regexp_extract(gap(i + 1), "^[^A-Za-z0-9]*", 0))
+    first = lambda i: F.struct(i.alias("run_no"), run(i).alias("core"), F.concat(gap(i), run(i), closes(i)).alias("word"), F.col("words_before").alias("before"))
+    later = lambda i: F.struct(
+        i.alias("run_no"), run(i).alias("core"), F.concat(opens(i), run(i), closes(i)).alias("word"), F.concat(gap(i - 1), run(i - 1), _without(gap(i), opens(i))).alias("before")
+    )
+    runs = F.transform("cores", lambda _, i: F.when(i == 0, first(i)).otherwise(later(i)))
+    rows = rows.select("doc_id", "word_no", F.explode(F.filter(runs, lambda x: x["core"].rlike("[0-9]"))).alias("x"), "after")
+    return rows.select("doc_id", "word_no", "x.run_no", "x.word", "x.core", "x.before", "after")
+
+
+def _without(text: Column, end: Column) -> Column:
+    """`text` without `end`, which it ends with."""
+    return F.left(text, F.length(text) - F.length(end))
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -100,7 +121,7 @@ def fit(findings: DataFrame, sample: int = SAMPLE, seed: int = 17) -> SecretFore
     """`findings`: candidates with label 1 (secret) or 0. At most `sample` of either label, those with the
     smallest hash, train the forest; they are put in order first, so it is the same on every run."""
     known = findings.where(F.col("label").isin(0, 1))
-    part = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "word_no", "word"), "doc_id", "word_no", "word").limit(sample)
+    part = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "word_no", "word"), "doc_id", "word_no", "word", "core", "before").limit(sample)
     ready = features(part(0).unionAll(part(1)))
     columns = [c for c in ready.columns if c.startswith("f_")]
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(ready).select("_features", F.col("label").cast("double").alias("label")).coalesce(1).cache()
@@ -115,6 +136,6 @@ def fit(findings: DataFrame, sample: int = SAMPLE, seed: int = 17) -> SecretFore
 
 
 def scan(docs: DataFrame, model: SecretForest, least: float = 0.5) -> DataFrame:
-    """doc_id, word_no, finding, score, is_secret of every candidate of `docs` (doc_id, text)."""
+    """doc_id, word_no, run_no, finding, score, is_secret of every candidate of `docs` (doc_id, text)."""
     scored = model.score(candidates(docs))
-    return scored.select("doc_id", "word_no", F.col("core").alias("finding"), F.round("score", 6).alias("score"), (F.col("score") >= least).alias("is_secret"))
+    return scored.select("doc_id", "word_no", "run_no", F.col("core").alias("finding"), F.round("score", 6).alias("score"), (F.col("score") >= least).alias("is_secret"))
