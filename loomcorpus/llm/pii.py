@@ -1,14 +1,14 @@
-"""PII: base patterns, and information-theoretic sanitisation of the terms around what they find.
+"""PII: base patterns, and information-theoretic sanitisation of the terms that reveal what they find.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers, by fixed patterns. Each value
-found is a protected entity. A term near an entity can reveal it without it: over the whole corpus, the
-pointwise mutual information of term and entity (how much seeing the term says about the entity) is
+found is a protected entity. A term can reveal an entity without it: over the whole corpus, the
+pointwise mutual information of term and entity (how much seeing the term in a document says about the entity) is
 compared with the entity's own information content (Sánchez and Batet). Where it reaches DISCLOSURE of it,
-and the two were seen together in at least SUPPORT different contexts, the term's spans next to the
-entity are added (kind "term") and generalised. Copies of one context count once, so a copied document discloses nothing.
+and the two stand together in documents with at least SUPPORT different contexts of the entity (the words next to it), the term
+is added (kind "term") and generalised wherever it stands, in documents without the entity, too.
 
-Counts: N documents; n(t) documents that hold the term; n(e), n(e, t) different contexts of the
-entity, and of the two together. PMI = ln(N n(e, t) / (n(e) n(t))), information content = ln(N / n(e)).
+Counts are over different texts, so copies count once: N texts; n(t) texts that hold the term; n(e), n(e, t) those that hold the
+entity, and the two together. PMI = ln(N n(e, t) / (n(e) n(t))), information content = ln(N / n(e)). Texts go by 64-bit hashes.
 
 Null text is empty text: no spans. Equal rows get equal spans. Spans are in code points, end exclusive.
 """
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that make its context; share of the information content; different contexts needed.
+#: Words on either side of an entity that tell its contexts apart; share of the information content; different contexts needed.
 REACH, DISCLOSURE, SUPPORT = 6, 0.9, 3
-#: So many terms at most are sent to the tasks, or counted by one of them before it writes out.
+#: So many terms at most are sent to the tasks; more are joined.
 TERMS = 50_000
 #: What redaction puts in place of a span.
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -81,9 +80,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, hash of the context) of the words around every span. A term is a word in lower
-    case without punctuation at its edges, of two characters or more, that is in no span."""
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
+    """(entity, hash of the words around it) of every span."""
     out = []
     for kind, start, end in spans:
         left, begin = [], start
@@ -104,132 +102,166 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, st
             right.append(m.span())
         words = [*reversed(left), *right]
         seen = int.from_bytes(hashlib.blake2b(" ".join(text[a:b] for a, b in words).lower().encode(), digest_size=8).digest(), "big", signed=True)
-        entity = f"{kind}:{re.sub('[^0-9a-z@._%+-]', '', text[start:end].lower())}"
-        for a, b in words:
-            while a < b and text[a] in _EDGE:
-                a += 1
-            while a < b and text[b - 1] in _EDGE:
-                b -= 1
-            if b - a > 1 and not any(a < y and x < b for _, x, y in spans):
-                out.append((entity, text[a:b].lower(), a, b, seen))
+        out.append((f"{kind}:{re.sub('[^0-9a-z@._%+-]', '', text[start:end].lower())}", seen))
     return out
 
 
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every term. A term is a word in lower case without punctuation at its edges, of two
+    characters or more, that is in no span."""
+    taken, k, past = sorted((x, y) for _, x, y in spans), 0, 0
+    for m in _WORD.finditer(text):
+        word = m.group()
+        a = m.start() + len(word) - len(word.lstrip(_EDGE))
+        word = word.strip(_EDGE)
+        b = a + len(word)
+        while k < len(taken) and taken[k][0] < b:
+            past, k = max(past, taken[k][1]), k + 1
+        if b - a > 1 and past <= a:
+            yield word.lower(), a, b
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+
+
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, found (base spans as kind:start:end), near (contexts of the spans) for every row of `docs`."""
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64())]))
+    """hash (of the text), near (entities and their contexts), terms (the different terms, of a text with entities) for every row of `docs`."""
+    near = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in common.byte_slices(batch):
-                found, around = [], []
+            for hashes, texts in common.byte_slices(batch):
+                around, terms = [], []
                 for raw in texts:
                     text = raw.decode("utf-8", "replace")
                     spans = base_spans(text)
-                    found.append([f"{k}:{a}:{b}" for k, a, b in spans])
-                    around.append([dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in contexts(text, spans)] if spans else [])
-                yield pa.record_batch([ids.cast(pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(around, near)], ["doc_id", "found", "near"])
+                    around.append([{"entity": e, "context": c} for e, c in sorted(set(contexts(text, spans)))])
+                    terms.append(sorted({t for t, _, _ in terms_of(text, spans)}) if spans else [])
+                yield pa.record_batch([hashes, pa.array(around, near), pa.array(terms, pa.list_(pa.string()))], ["hash", "near", "terms"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, found array<string>, near array<struct<entity: string, term: string, start: long, end: long, context: long>>")
+    return _hashed(docs).mapInArrow(run, "hash long, near array<struct<entity: string, context: long>>, terms array<string>")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, held: in how many documents each of `terms` stands, over all of `docs`.
+def _few(terms: DataFrame) -> list[str] | None:
+    """The terms, if the tasks can be sent them."""
+    got = [r["term"] for r in terms.limit(TERMS + 1).collect()]
+    return sorted(got) if len(got) <= TERMS else None
 
-    Up to TERMS terms are sent to the tasks, which count these alone. More meet the counts of all words by a join. Either way
-    a task adds up its documents before anything is shuffled, and writes out in between, so its memory is bounded.
-    """
-    wanted = frozenset(r["term"] for r in terms.collect()) if terms.count() <= TERMS else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+def _words(text: str) -> set[str]:
+    return {w.strip(_EDGE) for w in set(_WORD.findall(text.lower()))}
+
 
-        def out():
-            got = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-            counts.clear()
-            return got
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """hash, term: which of `terms` stand in a text, by a join with all its words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                words = {w.strip(_EDGE) for w in set(_WORD.findall((text.as_py() or "").lower()))}
-                counts.update(words if wanted is None else words & wanted)
-                if len(counts) >= TERMS:
-                    yield out()
-        if counts:
-            yield out()
-
-    counted = docs.select("text").mapInArrow(run, "term string, n long")
+            for hashes, texts in common.byte_slices(batch):
+                yield pa.record_batch([hashes, pa.array([sorted(_words(t.decode("utf-8", "replace"))) for t in texts], pa.list_(pa.string()))], ["hash", "words"])
+
+    words = _hashed(docs).mapInArrow(run, "hash long, words array<string>").select("hash", F.explode("words").alias("term"))
+    return words.join(terms, "term", "left_semi").select("hash", "term").distinct()
+
+
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, held: in how many different texts each of `terms` stands, over all of `docs`.
+
+    Up to TERMS terms are sent to the tasks, and a text is shuffled as the numbers of those it holds. More meet all words by a join.
+    """
+    wanted = _few(terms)
     if wanted is None:
-        counted = counted.join(terms, "term", "left_semi")
-    return counted.groupBy("term").agg(F.sum("n").alias("held"))
+        return _holding(docs, terms).groupBy("term").agg(F.count("*").alias("held"))
+    number = {t: i for i, t in enumerate(wanted)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, texts in common.byte_slices(batch):
+                got = [sorted(number[w] for w in _words(t.decode("utf-8", "replace")) if w in number) for t in texts]
+                yield pa.record_batch([hashes, pa.array(got, pa.list_(pa.int32()))], ["hash", "numbers"])
+
+    once = _hashed(docs).mapInArrow(run, "hash long, numbers array<int>").where(F.size("numbers") > 0).groupBy("hash").agg(F.first("numbers").alias("numbers"))
+    counted = once.select(F.explode("numbers").alias("number")).groupBy("number").agg(F.count("*").alias("held"))
+    names = docs.sparkSession.createDataFrame(list(number.items()), "term string, number int")
+    return counted.join(names, "number").select("term", "held")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs whose mutual information discloses the entity, from counts over all of `docs`."""
-    near = found.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= support)
-    pairs = common.keep(pairs, "pairs")
-    entities = near.groupBy("entity").agg(F.count_distinct("context").alias("seen"))
+    """(entity, term) pairs whose mutual information discloses the entity, from counts over all of `docs`.
+
+    A pair has no more contexts than its entity, so terms are paired with entities of enough contexts only."""
+    texts = found.where(F.size("near") > 0).groupBy("hash").agg(F.first("near").alias("near"), F.first("terms").alias("terms"))
+    near = texts.select("hash", "terms", F.explode("near").alias("x")).select("hash", "terms", "x.entity", "x.context")
+    entities = near.groupBy("entity").agg(F.count_distinct("hash").alias("seen"), F.count_distinct("context").alias("contexts"))
+    entities = common.keep(entities.where(F.col("contexts") >= support).drop("contexts"), "entities")
+    met = near.join(entities.select("entity"), "entity", "left_semi").select("entity", "hash", "context", F.explode("terms").alias("term"))
+    pairs = met.groupBy("entity", "term").agg(F.count_distinct("hash").alias("both"), F.count_distinct("context").alias("contexts"))
+    pairs = common.keep(pairs.where(F.col("contexts") >= support).drop("contexts"), "pairs")
     held = term_counts(docs, pairs.select("term").distinct())
-    total = F.lit(float(max(1, docs.count())))
+    total = F.lit(float(max(1, found.select("hash").distinct().count())))
     joined = pairs.join(entities, "entity").join(held, "term")
     pmi = F.log(total * F.col("both") / (F.col("seen") * F.greatest("held", "both")))
     content = F.log(total / F.col("seen"))
     return joined.where((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
 
 
+def _marking(docs: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+    """`docs` with a column _terms, and terms: those of either that stand in a text are to go. Up to TERMS terms are
+    sent to the tasks; more are joined to the texts that hold them."""
+    terms = common.keep(disclosing(docs, common.keep(detect(docs), "found")).select("term").distinct(), "terms")
+    wanted = _few(terms)
+    if wanted is not None:
+        return docs.withColumn("_terms", F.array().cast("array<string>")), frozenset(wanted)
+    held = _holding(docs, terms).groupBy(F.col("hash").alias("_hash")).agg(F.collect_set("term").alias("_terms"))
+    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(held, "_hash", "left").drop("_hash")
+    return marked.withColumn("_terms", F.coalesce("_terms", F.array().cast("array<string>"))), frozenset()
+
+
+def _added(text: str, own: list[tuple[str, int, int]], risky: frozenset[str] | set[str]) -> list[tuple[str, int, int]]:
+    """The spans of the terms of `text` that are in `risky`."""
+    if not risky or risky.isdisjoint(_words(text)):
+        return []
+    return [("term", a, b) for t, a, b in terms_of(text, own) if t in risky]
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, found (base), added (term spans), one row for every row of `docs` (doc_id, text).
+    """doc_id, found (base), added (term spans), one row for every row of `docs` (doc_id, text)."""
+    marked, wanted = _marking(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    many = pa.list_(pa.string())
 
-    Only documents with an entity take part in joins. Rows of one doc_id are told apart by their spans, so
-    repeated rows stay.
-    """
-    found = common.keep(detect(docs), "found")
-    pairs = disclosing(docs, found)
-    rows = found.where(F.size("near") > 0)
-    terms = (
-        rows.select("doc_id", "found", F.explode("near").alias("x"))
-        .select("doc_id", "found", "x.entity", "x.term", "x.start", "x.end")
-        .join(pairs, ["entity", "term"], "left_semi")
-        .groupBy("doc_id", "found")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    )
-    keep = F.transform(F.coalesce("terms", F.array()), lambda x: F.concat(F.lit("term:"), x["start"], F.lit(":"), x["end"]))
-    with_terms = rows.alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.found") == F.col("t.found")), "left")
-    with_terms = with_terms.select("r.doc_id", "r.found", keep.alias("added"))
-    return with_terms.unionAll(found.where(F.size("near") == 0).select("doc_id", "found", F.array().cast("array<string>").alias("added")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, texts in common.byte_slices(batch):
+                found, added = [], []
+                for raw, more in zip(texts, batch.column(2).slice(at, len(texts)).to_pylist(), strict=True):
+                    text = raw.decode("utf-8", "replace")
+                    own = base_spans(text)
+                    found.append([f"{k}:{a}:{b}" for k, a, b in own])
+                    added.append([f"{k}:{a}:{b}" for k, a, b in _added(text, own, wanted or set(more))])
+                at += len(texts)
+                yield pa.record_batch([ids, pa.array(found, many), pa.array(added, many)], ["doc_id", "found", "added"])
+
+    return marked.select("doc_id", "text", "_terms").mapInArrow(run, "doc_id long, found array<string>, added array<string>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with every span of the text replaced by its mask. A text without spans stays as it is.
+    """`docs` with every span of the text replaced by its mask. A text without spans stays as it is."""
+    marked, wanted = _marking(docs)
 
-    The spans found around entities decide which terms go; the base spans go always. Only the pairs are
-    joined to the texts, and only to texts with entities.
-    """
-    pairs = disclosing(docs, common.keep(detect(docs), "found"))
-    columns = docs.columns
-    mask = F.pandas_udf(_mask, "string")
-    marked = docs.withColumn("_near", F.pandas_udf(_entities, "array<string>")("text"))
-    plain = marked.where(F.size("_near") == 0).select(*columns)
-    rows = marked.where(F.size("_near") > 0).withColumn("_row", F.monotonically_increasing_id())
-    risky = (
-        rows.select("_row", F.explode(F.array_distinct("_near")).alias("entity")).join(pairs, "entity").groupBy("_row").agg(F.collect_set(F.concat("entity", F.lit("\t"), "term")).alias("_pairs"))
-    )
-    done = rows.join(risky, "_row", "left").withColumn("text", mask("text", F.coalesce("_pairs", F.array().cast("array<string>"))))
-    return plain.unionByName(done.select(*columns))
+    def mask(texts, terms):
+        import pandas as pd
 
+        return pd.Series([None if t is None else masked(t, wanted or set(x)) for t, x in zip(texts, terms, strict=True)], dtype=object)
 
-def _entities(texts):
-    return texts.fillna("").map(lambda t: [f"{k}:{re.sub('[^0-9a-z@._%+-]', '', t[a:b].lower())}" for k, a, b in base_spans(t)])
+    return marked.withColumn("text", F.pandas_udf(mask, "string")("text", "_terms")).select(*docs.columns)
 
 
-def masked(text: str, pairs) -> str:
-    """The text with its base spans, and the terms that stand by an entity as one of `pairs` ("entity\\tterm"), masked."""
+def masked(text: str, risky: frozenset[str] | set[str]) -> str:
+    """The text with its base spans, and the terms in `risky`, masked."""
     own = base_spans(text)
-    if not own:
-        return text
-    risky = set(pairs)
-    own = own + [("term", a, b) for e, t, a, b, _ in contexts(text, own) if f"{e}\t{t}" in risky]
+    own = own + _added(text, own, risky)
     out, at = [], 0
     for kind, a, b in sorted(set(own), key=lambda x: (x[1], -x[2])):
         if a >= at:
@@ -240,12 +272,6 @@ def masked(text: str, pairs) -> str:
     return "".join([*out, text[at:]])
 
 
-def _mask(texts, pairs):
-    import pandas as pd
-
-    return pd.Series([None if t is None else masked(t, p) for t, p in zip(texts, pairs, strict=True)], dtype=object)
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """The span columns of `spans` as counts, a hash of the base spans, and all spans in one string."""
     got = spans(docs)

@@ -146,6 +146,21 @@ def test_terms_that_disclose(spark):
     assert masked[0] == plain[0] and "Grabowski" not in masked[200] and "[EMAIL]" in masked[200] and masked[205] == "the Copied words of [EMAIL] are here"
 
 
+@pytest.mark.parametrize("terms", [50_000, 1])
+def test_terms_go_wherever_they_stand(spark, monkeypatch, terms):
+    monkeypatch.setattr(pii, "TERMS", terms)
+    r = random.Random(3)
+    plain = [" ".join(r.choice(["river", "stone", "tree", "road", "house", "cloud"]) for _ in range(30)) for _ in range(200)]
+    near = [f"{plain[i]} reach jan@example.com by {plain[i + 9]} asks Grabowski, too" for i in range(5)]
+    apart = ["a river that Grabowski knows", "a stone"]
+    got = pii.spans(docs_of(spark, plain + near + apart)).collect()
+    texts, added = plain + near + apart, {x["doc_id"]: [y.split(":")[1:] for y in x["added"]] for x in got}
+    assert all("Grabowski" in [texts[i][int(a) : int(b)] for a, b in added[i]] for i in range(200, 206))
+    assert not any(added[i] for i in [*range(200), 206])
+    masked = {x["doc_id"]: x["text"] for x in pii.redact(docs_of(spark, texts)).collect()}
+    assert masked[205] == "a river that [TERM] knows" and masked[206] == "a stone" and "Grabowski" not in masked[204]
+
+
 def test_many_terms_are_joined(spark, monkeypatch):
     monkeypatch.setattr(pii, "TERMS", 1)
     docs = docs_of(spark, ["a b b", "b, c", "c", ...])
