@@ -161,6 +161,14 @@ def test_terms_go_wherever_they_stand(spark, monkeypatch, terms):
     assert masked[205] == "a river that [TERM] knows" and masked[206] == "a stone" and "Grabowski" not in masked[204]
 
 
+def test_copies_hide_no_term(spark):
+    r = random.Random(3)
+    plain = [" ".join(r.choice(["river", "stone", "tree", "road", "house", "cloud"]) for _ in range(30)) for _ in range(200)]
+    near = [f"{r.choice(['river', 'stone'])} {i}{i} Grabowski, reach jan@example.com then {r.choice(['tree', 'road'])}" for i in range(5)]
+    got = pii.spans(docs_of(spark, plain + near + near[:1] * 300)).where("doc_id = 201").first()
+    assert "Grabowski" in [near[1][int(a) : int(b)] for _, a, b in (x.split(":") for x in got["added"])]
+
+
 def test_many_terms_are_joined(spark, monkeypatch):
     monkeypatch.setattr(pii, "TERMS", 1)
     docs = docs_of(spark, ["a b b", "b, c", "c", ...])
