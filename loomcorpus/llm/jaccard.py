@@ -265,8 +265,8 @@ def components(spark, postings: DataFrame, segments: DataFrame, percent: int) ->
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = common.keep(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # sets at a shingle may link though none links with its pivot
+            continue
         found = verified(pairs, segments, percent)
         links = common.keep(found, "links") if links is None else links.unionAll(common.keep(found, "links"))
         labels = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

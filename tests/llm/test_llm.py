@@ -219,6 +219,15 @@ def test_join_equals_brute_force(spark, monkeypatch, pivots):
     assert got == _components(rows)
 
 
+def test_sets_link_that_no_pivot_links_with(spark):
+    base, licence = [f"w{k}" for k in range(101)], [f"l{k}" for k in range(33)]
+    texts = [[*base, *licence], [*base, "b0", "b1", "b2"], [*base, "c0", "c1", "c2"], *([*base[-4:], *licence, *(f"d{i}x{k}" for k in range(10))] for i in range(4))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = _components(rows)
+    assert want[1][1] == want[2][1] == 1 and want[0][1] == 0
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.join(docs_of(spark, [t for _, t in rows])).collect()} == want
+
+
 def test_join_on_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "A B C D E F"), (4, None), (None, ""), (9, "q")], "doc_id long, text string").withColumn("part", F.lit(1)).withColumn("node", F.lit("x"))
     got = sorted(map(tuple, jaccard.join(docs).collect()), key=str)
