@@ -8,7 +8,7 @@ again, and grow over as many chunks as it takes until the join stands at white s
 sides agree with the encoding of the whole text exactly: the vocabulary's normaliser never composes
 over a blank, its pattern drops white space, and no added token holds any.
 
-Caches live in the Python worker and are bounded by entries; they only save time. A lost executor loses
+Caches live in the Python worker, are bounded by bytes and go when the task ends; they only save time. A lost executor loses
 its cache and nothing else. Null text: no tokens, an empty decoded text.
 """
 
@@ -27,8 +27,8 @@ from . import common
 #: Multiplier of the hash, and the number of its top bits that are nought at a cut: chunks of 256 bytes on average.
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 8
 _SPACES = frozenset(bytes([x]) for x in common.SPACE)
-#: Bounds of the caches. A word longer than WORD_MAX bytes is encoded and not kept.
-WORDS, CHUNKS, WORD_MAX = 200_000, 20_000, 256
+#: Bytes that the caches of words and of chunks may take, about. A word longer than WORD_MAX bytes is encoded and not kept.
+WORDS, CHUNKS, WORD_MAX, ENTRY = 48 << 20, 24 << 20, 256, 350
 
 
 def cuts(text: bytes) -> np.ndarray:
@@ -71,6 +71,7 @@ class Codec:
         self.ids = _Words(self._ids)
         self.said = _Words(lambda word: self._said(self.ids[word]))
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.of_words = self.of_chunks = 0
 
     def _ids(self, word: bytes) -> bytes:
         return np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,10 +83,10 @@ class Codec:
         """Encodes the words of the texts that aren't kept yet, many at a time, parted by blanks."""
         here = {w for w in set().union(*map(bytes.split, texts)) if len(w) <= WORD_MAX}
         new = list(here.difference(self.ids))
-        if len(self.ids) + len(new) > WORDS:
+        if self.of_words > WORDS:
             self.ids.clear()
             self.said.clear()
-            new = list(here)
+            self.of_words, new = 0, list(here)
         said = [w.decode("utf-8", "replace") for w in new]
         parts = [said[k : k + 64] for k in range(0, len(said), 64)]
         codes = self.library.encode_batch([" ".join(x) for x in parts], add_special_tokens=False)
@@ -99,6 +100,7 @@ class Codec:
             for w, end in zip(new[64 * k : 64 * k + 64], ends, strict=True):
                 self.ids[w] = raw[4 * at : 4 * end]
                 self.said[w] = b"".join([self.names[i] for i in ids[at:end]]) if self.plain else b""
+                self.of_words += ENTRY + 4 * len(w)
                 at = end
 
     def inner(self, part: bytes) -> tuple[bytes, bytes]:
@@ -106,9 +108,11 @@ class Codec:
         if (got := self.chunks.get(part)) is None:
             words = part.split()
             got = b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.said.__getitem__, words)) if self.plain else b""
-            if len(self.chunks) >= CHUNKS:
+            if self.of_chunks > CHUNKS:
                 self.chunks.clear()
+                self.of_chunks = 0
             self.chunks[part] = got
+            self.of_chunks += ENTRY + len(part) + len(got[0]) + len(got[1])
         return got
 
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
@@ -155,7 +159,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         both = [codec(tokenizer).encode(t) for t in texts]
         return {"ids": [np.frombuffer(x[0], "<i4") for x in both], "decoded": [x[1].decode() for x in both]}
 
-    return common.scan(docs, step, "ids array<int>, decoded string")
+    return common.scan(docs, step, "ids array<int>, decoded string", codec.cache_clear)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -171,4 +175,4 @@ def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
             out["decoded_sha256"].append(hashlib.sha256(said).hexdigest())
         return out
 
-    return common.scan(docs, step, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.scan(docs, step, "n_tokens long, ids_sha256 string, decoded_sha256 string", codec.cache_clear)

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of the edges (u, v): the least node that it reaches.
+def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(node, label) of every node of the edges (u, v): the least node that it reaches. Repeated edges and loops count for nothing;
+    without other edges there are no rows; null ends must be left out before, and columns beside u and v are not read.
 
     Each turn is written to the shared folder, so lineage stays short and a lost executor costs one turn at most; a
-    hot node's edges are aggregated before they are shuffled, and joined back by a join that Spark can split.
+    hot node's edges are aggregated before they are shuffled, and joined back dealt over many tasks.
     """
-    now = common.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = scratch.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -23,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = common.join_split(scratch, both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.put(large.distinct(), "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = common.keep(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        small = common.join_split(scratch, large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = scratch.put(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -20,7 +20,8 @@ Sets and shingles go by 64-bit hashes: among 10**9 different sets, two collide w
 
 Null, empty and blank texts have no set: n_shingles 0, linked with nothing, alone in their component. Repeated rows
 each come out. A null doc_id is carried along; a component whose ids are all null has a null id. Only doc_id
-and text are read.
+and text are read. An empty table gives no rows. A text may be as long as one row can be: what a task holds is a slice of texts
+(or one text) and its share of the shingles, of which there are as many as the bytes of all texts ask for.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from .words import Words, mix
 WORDS, PERCENT = 5, 80
 #: Rounds of comparing with one set only; fragments that a pair's overlap is counted in.
 PIVOTS, PARTS = 2, 4
-#: Bytes of text that are cut up together.
-SLICE = 2 << 20
+#: Bytes of text that are cut up together; bytes of text whose shingles a fragment holds, about.
+SLICE, FRAGMENT = 8 << 20, 24 << 20
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -59,7 +60,7 @@ def sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray
     return sizes, node, doc, hashes
 
 
-_OUT = "part int, kind int, nodes binary, sizes binary, counts binary, hashes binary, times binary, ids binary"
+_OUT = "part int, kind int, nodes binary, sizes binary, counts binary, hashes binary, times binary, ids binary, known binary, marks binary"
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in _NAMES[2:])])
 
@@ -74,12 +75,14 @@ def _split(fragments: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for batch in batches:
+            at = 0
             for ids, texts in common.byte_slices(batch, SLICE):
                 sizes, node, doc, hashes = sets(texts, words)
-                there = np.array(ids.is_valid().to_numpy(zero_copy_only=False))
+                known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
                 numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                turn += 1
-                rows = [_row((turn * 7919 + int(numbers[0])) % fragments, 1, nodes=node, sizes=sizes, ids=np.where(there, numbers, -(2**63)))]
+                marks = batch.column(2).slice(at, len(texts)).to_numpy(zero_copy_only=False)
+                turn, at = turn + 1, at + len(texts)
+                rows = [_row((turn * 7919 + int(numbers[0])) % fragments, 1, nodes=node, sizes=sizes, ids=numbers, known=known, marks=marks)]
                 once = np.zeros(len(node), bool)
                 once[np.unique(node, return_index=True)[1]] = True
                 keep = once[doc]
@@ -149,21 +152,21 @@ def _count(fragments: int):
     return run
 
 
-_KEPT = "doc_id long, node long, n long, own long, part int, tokens binary, prefix array<long>"
+_KEPT = "doc_id long, mark long, node long, n long, own long, part int, tokens binary, prefix array<long>"
 
 
 def _survivors(percent: int):
     """Sums the counts of each set; of those that can link, a row a part with the shared shingles, the first with
-    the prefix; own: how many shingles no other set has. The texts' rows come out as (doc_id, node, n), part -1."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    the prefix; own: how many shingles no other set has. The texts' rows come out as (doc_id, mark, node, n), part -1."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed, by = _gather(batches)
         for row in passed:
-            node, size, ids = (np.frombuffer(row[k], "<i8") for k in ("nodes", "sizes", "ids"))
-            n = len(node)
+            node, size, ids, marks = (np.frombuffer(row[k], "<i8") for k in ("nodes", "sizes", "ids", "marks"))
+            n, known = len(node), np.frombuffer(row["known"], np.uint8)
             yield pa.record_batch(
-                [pa.array(ids, mask=ids == -(2**63)), pa.array(node, mask=node == 0), pa.array(size), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], schema=schema
+                [pa.array(ids, mask=known == 0), pa.array(marks), pa.array(node, mask=node == 0), pa.array(size), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], schema=schema
             )
         for part in list(by):
             nodes, sizes, counts, hashes, times = (np.frombuffer(b"".join(x), k) for x, k in zip(by.pop(part), ("<u8", "<u4", "<u4", "<u8", "<u4"), strict=True))
@@ -185,7 +188,7 @@ def _survivors(percent: int):
                 rank = np.sort(own)
                 cut = np.searchsorted(rank, [np.uint64(k << 62) for k in range(PARTS)][1:])
                 for k, piece in enumerate(np.split(rank, cut)):
-                    rows.append({"doc_id": None, "node": int(all_nodes[i].astype(np.int64)), "n": n, "own": n - len(own), "part": k, "tokens": piece.tobytes(), "prefix": own[: max(0, first)].view(np.int64).tolist() if k == 0 else None})
+                    rows.append({"doc_id": None, "mark": None, "node": int(all_nodes[i].astype(np.int64)), "n": n, "own": n - len(own), "part": k, "tokens": piece.tobytes(), "prefix": own[: max(0, first)].view(np.int64).tolist() if k == 0 else None})
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
@@ -201,11 +204,17 @@ def _overlap(a, b):
     return pd.Series([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def verified(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps by fragment, summed per pair, against the sizes."""
+def verified(scratch: common.Scratch, pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that link: partial overlaps by fragment, summed per pair, against the sizes. A set of many pairs, as one that
+    a group is compared with, is dealt over several tasks."""
     left = segments.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
     right = segments.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
-    counted = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.pandas_udf(_overlap, "long")("ta", "tb").alias("both"))
+    parts = pairs.select("a", "b", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    met = common.join_split(scratch, parts.withColumn("_a", F.struct("a", "part")), left.select(F.struct("a", "part").alias("_a"), "na", "ta"), "_a", "b")
+    met = scratch.put(met.select("a", "b", F.struct("b", "part").alias("_b"), "na", "ta"), "halves")
+    met = common.join_split(scratch, met, right.select(F.struct("b", "part").alias("_b"), "nb", "tb"), "_b", "a")
+    common.hold_batches(pairs.sparkSession)
+    counted = met.select("a", "b", "na", "nb", F.pandas_udf(_overlap, "long")("ta", "tb").alias("both"))
     total = counted.groupBy("a", "b").agg(F.sum("both").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return total.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -220,54 +229,82 @@ def _pair(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, label (the same for all texts of a component; null without words) and component_id
+    of every row of `docs` (doc_id, text)."""
+    spark = docs.sparkSession
+    with common.Scratch(spark) as scratch:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+        bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // FRAGMENT))
+        cut = common.arrow(rows, _split(fragments, words), _OUT)
+        counted = common.arrow(cut.repartitionById(fragments, F.col("part")), _count(fragments), _OUT)
+        kept = scratch.put(common.arrow(counted.repartitionById(fragments, F.col("part")), _survivors(percent), _KEPT), "sets")
+        texts = kept.where("part = -1").select("doc_id", "mark", "n", "node")
+        segments = kept.where("part >= 0").select("node", "n", "part", "tokens")
+        postings = kept.where("part = 0").select("node", "n", "own", F.posexplode("prefix").alias("_i", "token")).select("node", "n", "own", "token", (F.col("own") + F.col("_i")).alias("pos"))
+        postings = scratch.put(meeting(scratch, scratch.put(postings, "prefixes"), percent), "postings")
+        labels = scratch.put(components(scratch, postings, segments, percent), "labels")
+        # A set's rows, then a component's sets, are aggregated; what they give goes back to the rows.
+        sets_ = texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+        sets_ = scratch.put(sets_, "least")
+        least = sets_.groupBy("label").agg(F.min("least").alias("component_id"))
+        sets_ = scratch.put(common.join_split(scratch, sets_.select("node", "label"), least, "label", "node"), "components")
+        done = common.join_split(scratch, texts.where("node is not null"), sets_, "node", "doc_id").select("doc_id", "mark", F.col("n").alias("n_shingles"), "label", "component_id")
+        none = texts.where("node is null").select("doc_id", "mark", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+        return scratch.last(done.unionAll(none), "classes")
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(fragments, words), _OUT)
-    counted = cut.repartitionById(fragments, F.col("part")).mapInArrow(_count(fragments), _OUT)
-    kept = common.keep(counted.repartitionById(fragments, F.col("part")).mapInArrow(_survivors(percent), _KEPT), "sets")
-    texts = kept.where("part = -1").select("doc_id", "n", "node")
-    segments = kept.where("part >= 0").select("node", "n", "part", "tokens")
-    postings = kept.where("part = 0").select("node", "n", "own", F.posexplode("prefix").alias("_i", "token")).select("node", "n", "own", "token", (F.col("own") + F.col("_i")).alias("pos"))
-    labels = components(spark, common.keep(meeting(postings, percent), "postings"), segments, percent)
-    labelled = texts.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    linked = labelled.where("label is not null")
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    done = linked.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return done.unionAll(labelled.where("label is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-
-
-def meeting(postings: DataFrame, percent: int) -> DataFrame:
+    return classes(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def meeting(scratch: common.Scratch, postings: DataFrame, percent: int) -> DataFrame:
     """The postings from which enough is left to link with even the smallest of the sets that meet at their shingle."""
     least = postings.groupBy("token").agg(F.min("n").alias("_m"), F.count("*").alias("_c")).where("_c > 1")
     enough = F.lit(100 + percent) * (F.col("n") - F.col("pos")) >= F.lit(percent) * (F.col("n") + F.col("_m"))
-    return postings.join(least, "token").where(enough).drop("_m", "_c")
+    return common.join_split(scratch, postings, least, "token", "node").where(enough).drop("_m", "_c")
 
 
-def components(spark, postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def components(scratch: common.Scratch, postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(node, label) of every set that links with another; the label is the same for all that links reach."""
+    spark = postings.sparkSession
     links = labels = tried = None
     for turn in range(PIVOTS + 1):
-        here = postings.withColumn("label", F.col("node")) if labels is None else postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        here = postings.withColumn("label", F.col("node"))
+        if labels is not None:
+            here = common.join_split(scratch, postings, labels, "node", "token", "left").withColumn("label", F.coalesce("label", "node"))
+        here = scratch.put(here, "open")
         order = F.struct("own", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "label") if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("n"), F.col("pos"), F.col("label"))
         open_ = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("p")).where("low <> high")
         if turn < PIVOTS:
-            met = here.join(open_.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.label").alias("other_label")), "token").where(F.col("label") != F.col("other_label"))
+            pivots = open_.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.label").alias("other_label"))
+            met = common.join_split(scratch, here, pivots, "token", "node").where(F.col("label") != F.col("other_label"))
         else:
-            # All that is still apart: by the components that meet at a shingle, then the sets in these.
-            apart = here.join(open_.select("token"), "token", "left_semi")
-            groups = apart.select("token", "label").distinct()
-            meet = groups.join(groups.select("token", F.col("label").alias("other_label")), "token").where(F.col("label") < F.col("other_label"))
-            met = meet.join(apart, ["token", "label"]).join(apart.select("token", F.col("label").alias("other_label"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at")), ["token", "other_label"])
+            met = _all_apart(scratch, here, open_, percent)
         pairs = met.where(_reach(percent)).select(*_pair("node", "other")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.keep(pairs, "pairs")
+        pairs = scratch.put(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         if pairs.isEmpty():  # sets at a shingle may link though none links with its pivot
             continue
-        found = verified(pairs, segments, percent)
-        links = common.keep(found, "links") if links is None else links.unionAll(common.keep(found, "links"))
-        labels = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = scratch.put(verified(scratch, pairs, segments, percent), "links")
+        links = found if links is None else links.unionAll(found)
+        labels = scratch.put(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "labels")
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
+
+
+def _all_apart(scratch: common.Scratch, here: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """All that is still apart at a shingle, set by set. Sets link only if the smaller has PERCENT of the larger's shingles, so they
+    meet by shingle and step of size (a factor of 100 / PERCENT each: in the same step or the next); the join itself tests what
+    stands from the shingle on, and gives only pairs that can still link."""
+    apart = scratch.put(common.join_split(scratch, here, open_.select("token"), "token", "node"), "apart")
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    left = apart.withColumn("key", F.struct("token", step.alias("step")))
+    right = apart.select("token", F.col("label").alias("other_label"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    right = right.select(F.struct("token", "step").alias("key"), "other_label", "other", "m", "at")
+    # A row per pair and direction would be made twice: the smaller label leads.
+    met = common.join_split(scratch, left.select("key", "node", "n", "pos", "label"), right, "key", "node")
+    return met.where(F.col("label") < F.col("other_label"))

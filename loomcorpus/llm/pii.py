@@ -10,15 +10,19 @@ is added (kind "term") and generalised wherever it stands, in documents without
 Counts are over different texts, so copies count once: N texts; n(t) texts that hold the term; n(e), n(e, t) those that hold the
 entity, and the two together. PMI = ln(N n(e, t) / (n(e) n(t))), information content = ln(N / n(e)). Texts go by 64-bit hashes.
 
-Null text is empty text: no spans. Equal rows get equal spans. Spans are in code points, end exclusive.
+Null text is empty text: no spans. Equal rows get equal spans. Spans are in code points, end exclusive. A text may be as long as
+memory lets one row be: time and memory follow its length and its spans. Ties can't matter (a threshold decides), an empty table
+gives empty results, extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_DROPPED = re.compile("[^0-9a-z@._%+-]")
 _EDGE = ".,;:!?\"'()[]{}<>"
 
 
@@ -67,7 +72,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split(".")):
+        if all(len(x) < 4 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m.group().split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group()) if m.end() - m.start() >= 13 else ""
@@ -81,28 +86,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
-    """(entity, hash of the words around it) of every span."""
+    """(entity, hash of the words around it) of every span: the REACH words before the word it starts in, and those after the word it
+    ends in. Words are looked up by bisection and hashed once, so time follows the text and the spans, not their product."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in words]
+    known: dict[int, bytes] = {}
+
+    def seen(i: int) -> bytes:
+        if i not in known:
+            known[i] = hashlib.blake2b(text[slice(*words[i])].lower().encode(), digest_size=8).digest()
+        return known[i]
+
     out = []
     for kind, start, end in spans:
-        left, begin = [], start
-        for _ in range(REACH):
-            stop = begin
-            while stop > 0 and text[stop - 1] in " \t\n\r\x0b\x0c":
-                stop -= 1
-            begin = stop
-            while begin > 0 and text[begin - 1] not in " \t\n\r\x0b\x0c":
-                begin -= 1
-            if begin == stop:
-                break
-            left.append((begin, stop))
-        right = []
-        for m in _WORD.finditer(text, end):
-            if len(right) == REACH:
-                break
-            right.append(m.span())
-        words = [*reversed(left), *right]
-        seen = int.from_bytes(hashlib.blake2b(" ".join(text[a:b] for a, b in words).lower().encode(), digest_size=8).digest(), "big", signed=True)
-        out.append((f"{kind}:{re.sub('[^0-9a-z@._%+-]', '', text[start:end].lower())}", seen))
+        first, last = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+        around = [*range(max(0, first - REACH), first), *range(last + 1, min(len(words), last + 1 + REACH))]
+        context = int.from_bytes(hashlib.blake2b(b"".join(map(seen, around)), digest_size=8).digest(), "big", signed=True)
+        out.append((f"{kind}:{_DROPPED.sub('', text[start:end].lower())}", context))
     return out
 
 
@@ -140,7 +140,7 @@ def detect(docs: DataFrame) -> DataFrame:
                     terms.append(sorted({t for t, _, _ in terms_of(text, spans)}) if spans else [])
                 yield pa.record_batch([hashes, pa.array(around, near), pa.array(terms, pa.list_(pa.string()))], ["hash", "near", "terms"])
 
-    return _hashed(docs).mapInArrow(run, "hash long, near array<struct<entity: string, context: long>>, terms array<string>")
+    return common.arrow(_hashed(docs), run, "hash long, near array<struct<entity: string, context: long>>, terms array<string>")
 
 
 def _few(terms: DataFrame) -> list[str] | None:
@@ -161,7 +161,7 @@ def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
             for hashes, texts in common.byte_slices(batch):
                 yield pa.record_batch([hashes, pa.array([sorted(_words(t.decode("utf-8", "replace"))) for t in texts], pa.list_(pa.string()))], ["hash", "words"])
 
-    words = _hashed(docs).mapInArrow(run, "hash long, words array<string>").select("hash", F.explode("words").alias("term"))
+    words = common.arrow(_hashed(docs), run, "hash long, words array<string>").select("hash", F.explode("words").alias("term"))
     return words.join(terms, "term", "left_semi").select("hash", "term").distinct()
 
 
@@ -181,23 +181,23 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 got = [sorted(number[w] for w in _words(t.decode("utf-8", "replace")) if w in number) for t in texts]
                 yield pa.record_batch([hashes, pa.array(got, pa.list_(pa.int32()))], ["hash", "numbers"])
 
-    once = _hashed(docs).mapInArrow(run, "hash long, numbers array<int>").where(F.size("numbers") > 0).groupBy("hash").agg(F.first("numbers").alias("numbers"))
+    once = common.arrow(_hashed(docs), run, "hash long, numbers array<int>").where(F.size("numbers") > 0).groupBy("hash").agg(F.first("numbers").alias("numbers"))
     counted = once.select(F.explode("numbers").alias("number")).groupBy("number").agg(F.count("*").alias("held"))
     names = docs.sparkSession.createDataFrame(list(number.items()), "term string, number int")
     return counted.join(names, "number").select("term", "held")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, scratch: common.Scratch, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term) pairs whose mutual information discloses the entity, from counts over all of `docs`.
 
     A pair has no more contexts than its entity, so terms are paired with entities of enough contexts only."""
     texts = found.where(F.size("near") > 0).groupBy("hash").agg(F.first("near").alias("near"), F.first("terms").alias("terms"))
     near = texts.select("hash", "terms", F.explode("near").alias("x")).select("hash", "terms", "x.entity", "x.context")
     entities = near.groupBy("entity").agg(F.count_distinct("hash").alias("seen"), F.count_distinct("context").alias("contexts"))
-    entities = common.keep(entities.where(F.col("contexts") >= support).drop("contexts"), "entities")
+    entities = scratch.put(entities.where(F.col("contexts") >= support).drop("contexts"), "entities")
     met = near.join(entities.select("entity"), "entity", "left_semi").select("entity", "hash", "context", F.explode("terms").alias("term"))
     pairs = met.groupBy("entity", "term").agg(F.count_distinct("hash").alias("both"), F.count_distinct("context").alias("contexts"))
-    pairs = common.keep(pairs.where(F.col("contexts") >= support).drop("contexts"), "pairs")
+    pairs = scratch.put(pairs.where(F.col("contexts") >= support).drop("contexts"), "pairs")
     held = term_counts(docs, pairs.select("term").distinct())
     total = F.lit(float(max(1, found.select("hash").distinct().count())))
     joined = pairs.join(entities, "entity").join(held, "term")
@@ -206,16 +206,20 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
     return joined.where((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
 
 
-def _marking(docs: DataFrame) -> tuple[DataFrame, frozenset[str]]:
-    """`docs` with a column _terms, and terms: those of either that stand in a text are to go. Up to TERMS terms are
+def _marking(docs: DataFrame, name: str) -> tuple[DataFrame, frozenset[str]]:
+    """`docs` with a column `name`, and terms: those of either that stand in a text are to go. Up to TERMS terms are
     sent to the tasks; more are joined to the texts that hold them."""
-    terms = common.keep(disclosing(docs, common.keep(detect(docs), "found")).select("term").distinct(), "terms")
-    wanted = _few(terms)
-    if wanted is not None:
-        return docs.withColumn("_terms", F.array().cast("array<string>")), frozenset(wanted)
-    held = _holding(docs, terms).groupBy(F.col("hash").alias("_hash")).agg(F.collect_set("term").alias("_terms"))
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(held, "_hash", "left").drop("_hash")
-    return marked.withColumn("_terms", F.coalesce("_terms", F.array().cast("array<string>"))), frozenset()
+    none = F.array().cast("array<string>")
+    with common.Scratch(docs.sparkSession) as scratch:
+        terms = scratch.put(disclosing(docs, scratch.put(detect(docs), "found"), scratch).select("term").distinct(), "terms")
+        wanted = _few(terms)
+        if wanted is not None:
+            return docs.withColumn(name, none), frozenset(wanted)
+        terms = scratch.last(terms, "terms")
+    key = common.free(docs, "_hash")
+    held = _holding(docs, terms).groupBy(F.col("hash").alias(key)).agg(F.collect_set("term").alias(name))
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(held, key, "left").drop(key)
+    return marked.withColumn(name, F.coalesce(name, none)), frozenset()
 
 
 def _added(text: str, own: list[tuple[str, int, int]], risky: frozenset[str] | set[str]) -> list[tuple[str, int, int]]:
@@ -227,7 +231,7 @@ def _added(text: str, own: list[tuple[str, int, int]], risky: frozenset[str] | s
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, found (base), added (term spans), one row for every row of `docs` (doc_id, text)."""
-    marked, wanted = _marking(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    marked, wanted = _marking(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "_terms")
     many = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,19 +247,25 @@ def spans(docs: DataFrame) -> DataFrame:
                 at += len(texts)
                 yield pa.record_batch([ids, pa.array(found, many), pa.array(added, many)], ["doc_id", "found", "added"])
 
-    return marked.select("doc_id", "text", "_terms").mapInArrow(run, "doc_id long, found array<string>, added array<string>")
+    return common.arrow(marked.select("doc_id", "text", "_terms"), run, "doc_id long, found array<string>, added array<string>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with every span of the text replaced by its mask. A text without spans stays as it is."""
-    marked, wanted = _marking(docs)
+    """`docs` with every span of the text replaced by its mask. A text without spans stays as it is, a null one null. Rows are mapped
+    each on its own (a row id isn't needed), so repeated rows and null ids stay as they are; other columns, whatever
+    their names, pass by untouched; an empty table stays empty."""
+    name = common.free(docs, "_terms")
+    marked, wanted = _marking(docs, name)
 
-    def mask(texts, terms):
-        import pandas as pd
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, terms in batches:
+            yield pd.Series([None if t is None else masked(t, wanted or set(x)) for t, x in zip(texts, terms, strict=True)], dtype=object)
 
-        return pd.Series([None if t is None else masked(t, wanted or set(x)) for t, x in zip(texts, terms, strict=True)], dtype=object)
+    def whole(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from common.resting(run)(batches)
 
-    return marked.withColumn("text", F.pandas_udf(mask, "string")("text", "_terms")).select(*docs.columns)
+    common.hold_batches(docs.sparkSession)
+    return marked.withColumn("text", F.pandas_udf(whole, "string")("text", name)).select(*common.named(docs.columns))
 
 
 def masked(text: str, risky: frozenset[str] | set[str]) -> str:

@@ -1,8 +1,8 @@
 """Quality classifier: gated-attention multiple-instance learning over passages.
 
 A document is a bag of passages of PASSAGE words (the whole text, however long; the last passage may be
-shorter; a text without words is one empty passage). Every passage is encoded into features, lifted by a
-hidden layer, weighted by gated attention (Ilse, Tomczak and Welling) and summed; a logistic layer scores
+shorter; a text without words is one empty passage). Every passage is encoded into features (shares of characters,
+repetition, and its words, hashed with a sign into BUCKETS), lifted by a hidden layer, weighted by gated attention (Ilse, Tomczak and Welling) and summed; a logistic layer scores
 the weighted representation. Only document labels are used; all layers are learnt here by Adam.
 
 Null text is empty text. Equal texts get equal scores. With labels of one class only, or none, every score
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from . import common
 from .words import Words
 
-PASSAGE = 64
-#: Labelled rows of either class that the fit may read, hidden width, attention width, rounds.
+PASSAGE, BUCKETS = 64, 32
+#: Labelled rows of either class that the fit may read (and common.SAMPLE_BYTES of text), hidden width, attention width, rounds.
 SAMPLE, HIDDEN, GATE, ROUNDS = 2500, 16, 8, 60
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), [9, 10, 11, 12, 13, 32], b"#*$%&|<>", b"!?", b".,;:", range(128, 256), b"\n", b"|"]
-_BIT = np.zeros((len(_CLASSES), 256), np.int32)
+_BIT = np.zeros((len(_CLASSES), 256), np.uint8)
 for _k, _bytes in enumerate(_CLASSES):
     _BIT[_k, list(_bytes)] = 1
 
@@ -43,20 +43,20 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size, n = np.maximum(1, right - left), np.maximum(1, high - low)
     columns = [np.minimum(high - low, PASSAGE) / PASSAGE]
     for bit in _BIT:
-        sums = np.concatenate(([0], np.cumsum(bit[w.buf])))
+        sums = np.zeros(len(w.buf) + 1, np.int32)
+        np.cumsum(bit[w.buf], dtype=np.int32, out=sums[1:])
         columns.append((sums[right] - sums[left]) / size)
     over = lambda x: (lambda s: s[high] - s[low])(np.concatenate(([0.0], np.cumsum(x))))
     length = (w.end - w.start).astype(np.float64)
     mean = over(length) / n
     columns += [mean / 10, np.sqrt(np.maximum(0, over(length**2) / n - mean**2)) / 10]
-    again = np.zeros(len(w.hash))
+    again, home = np.zeros(len(w.hash)), np.repeat(np.arange(len(doc)), high - low)
     if len(w.hash):
         again[1:] = w.hash[1:] == w.hash[:-1]
         last = w.buf[w.end - 1]
         first = w.buf[w.start]
         marked = (_BIT[4] | _BIT[5])[last].astype(np.float64)
         capital = _BIT[0][first].astype(np.float64)
-        home = np.repeat(np.arange(len(doc)), high - low)
         key = w.hash ^ (home.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(key, kind="stable")
         repeat = np.zeros(len(key))
@@ -69,7 +69,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     else:
         marked = capital = repeat = echo = again
     columns += [over(x) / n for x in (again, marked, capital, repeat, echo)]
-    return np.stack(columns, 1), doc
+    bucket, sign = (w.hash >> np.uint64(59)).astype(np.int64) % BUCKETS, 1.0 - 2.0 * (w.hash & np.uint64(1)).astype(np.float64)
+    words = np.bincount(home * BUCKETS + bucket, sign, len(doc) * BUCKETS).reshape(-1, BUCKETS)
+    return np.concatenate((np.stack(columns, 1), words / np.sqrt(n)[:, None]), 1), doc
 
 
 class AttentionMIL:
@@ -133,18 +135,18 @@ class AttentionMIL:
         return self._forward(np.clip((x - self.mean) / self.scale, -6, 6), first, doc)[-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> AttentionMIL:
-    """Learns from at most 2 * sample labelled rows (those of `where`), whose passages' features reach the driver."""
-    rows, known = common.labelled_sample(docs, labels, "quality", sample, where)
-    width = 1 + len(_CLASSES) + 7
+def learn(texts: list[str], y: np.ndarray) -> AttentionMIL:
+    """The model of labelled texts, which are encoded a few at a time."""
+    bags = []
+    for k in range(0, len(texts), 64):
+        x, doc = passages([t.encode() for t in texts[k : k + 64]])
+        bags += np.split(x, np.flatnonzero(np.diff(doc)) + 1)
+    return AttentionMIL(bags[0].shape[1]).fit(bags, y.astype(np.float64))
 
-    def step(texts: list[bytes]) -> dict:
-        x, doc = passages(texts)
-        return {"x": [b.ravel() for b in np.split(x, np.flatnonzero(np.diff(doc)) + 1)]}
 
-    got = common.scan(rows, step, "x array<double>").join(F.broadcast(known), "doc_id").toArrow().sort_by("doc_id")
-    bags = [np.array(b.values).reshape(-1, width) for b in got["x"]]
-    return AttentionMIL(width).fit(bags, got["y"].to_numpy().astype(np.float64))
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> AttentionMIL:
+    """Learns from at most 2 * sample labelled rows (those of `where`), in one task."""
+    return common.trained(docs, labels, "quality", sample, learn, where) or AttentionMIL(1)
 
 
 def score(docs: DataFrame, model: AttentionMIL) -> DataFrame:

@@ -15,25 +15,32 @@ shared_folder = common.shared_folder
 TOKENIZER = "word_bpe_49k.json"
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the kernel machine doesn't find toxic. It learns from the labels of documents that are here."""
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
+    """Documents that the kernel machine doesn't find toxic. It learns from the labels of documents that are here; without labels of
+    both classes all stay. Each row is judged by its text alone, so repeated rows, null ids and texts and other columns don't matter."""
     model = _toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
     if model.weights is None:
         return docs
-    calm = F.pandas_udf(lambda texts: _calm(model, texts), "boolean")
-    return docs.where(calm(F.coalesce("text", F.lit(""))))
-
-
-def _calm(model, texts, least: float = 0.3):
-    import pandas as pd
-
-    return pd.Series(model.score(texts.tolist()) < least)
+    return docs.where(common.over_texts(spark, F.col("text"), lambda texts: list(model.score(texts) < least), "boolean"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id; texts without words all stay."""
-    gone = jaccard.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near copies one row: that of the smallest id, and of an id's texts that with the smallest hash; null ids
+    are the largest. Rows are told apart by id and text, so another text of an id stays if it is a copy of nothing, and of equal rows one
+    stays. Texts without words are copies of nothing and all stay. An empty table stays empty; other columns pass by."""
+    found = jaccard.classes(docs).where("label is not null").select("doc_id", "mark", "label")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+    with common.Scratch(spark) as scratch:
+        met = common.join_split(scratch, found, first, "label", "mark").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+        gone = scratch.last(met.where("NOT stays").select("doc_id", "mark").distinct(), "gone")
+        twice = scratch.last(met.where("stays").groupBy("doc_id", "mark").count().where("count > 1").drop("count"), "twice")
+    key, mark = common.free(docs, "_key"), common.free(docs, "_mark")
+    docs_ = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    among = lambda rows, other, how: rows.join(other.select(F.col("doc_id").alias("i"), F.col("mark").alias("m")), F.col(key).eqNullSafe(F.col("i")) & (F.col(mark) == F.col("m")), how)
+    kept = among(docs_, gone, "left_anti")
+    if not twice.isEmpty():
+        kept = among(kept, twice, "left_anti").unionAll(among(kept, twice, "left_semi").dropDuplicates([key, mark]))
+    return kept.select(*common.named(docs.columns))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

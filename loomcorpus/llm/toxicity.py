@@ -1,156 +1,196 @@
-"""Toxicity: a subsequence string-kernel machine with Nyström landmarks.
+"""Toxicity: a subsequence string-kernel machine with Nyström landmarks, trained on labelled sentences.
 
 The kernel (Lodhi et al.) counts subsequences of ORDER characters that two strings share, each weighted by
 DECAY to the power of the stretch it takes, so an insult with gaps or inserted characters still matches;
-stretches go up to SPAN characters. It is divided by norms that follow the string's length. Strings are the words
-of a sentence between a start and an end mark, folded to a small alphabet (case, accents and digits that
-stand for letters); letters set apart by blanks are put together again.
-
-A sentence scores as its most telling word, a document as its most telling sentence. Labels are given to
-documents, so the machine is trained by turns: the sentences of toxic documents are held to their most
-telling word, all sentences of clean documents to theirs. Features are Nyström's: kernels to landmark
-strings, whitened; the machine is linear in them with a squared hinge. As it is linear in the kernel, it folds
-into one weight a subsequence, and scoring a word looks these up: equal to summing over the landmarks.
-
-Null and empty texts have no words and score as the least telling word can. Equal texts score alike. Without labels of
+stretches go up to SPAN characters. Text is folded to a small alphabet: case, accents and characters that stand for
+letters; a run of white space is one character, a run of other marks another, and either can be passed over as
+any inserted character is ("id iot", "i d i o t", "i.d.i.o.t"). The kernel compares windows: the subsequences that
+start at WINDOW characters in a row.
+
+A sentence is as toxic as its most telling window, and a document as its own, over its whole text. Labels are given to documents, so
+sentences get theirs by turns (multiple instances): those of clean documents are clean; a sentence of a
+toxic document is toxic if its window tells more than nearly all clean sentences' (CLEAN), or if none of its document tells more. Before
+there is a machine, how many more toxic documents hold each subsequence tells. Each turn trains on
+the most telling windows of toxic sentences, those of clean documents, and windows at random places of these: features are Nyström's,
+kernels to landmark windows, whitened; the machine is linear in them with a squared hinge. As it is linear in the kernel, it folds into
+one weight a subsequence, and scoring a text adds these up: equal to summing over the landmarks.
+
+Null and empty texts score as a window of nothing does; equal texts score alike; repeated rows and ids each get their score. Texts are read
+whole, in pieces that lap over by a window. An empty table gives no rows; only doc_id and text are read. Without labels of
 both classes every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
 
 import itertools
-import pickle
-import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, SPAN, DECAY = 4, 7, 0.6
-#: Labelled toxic documents that the fit may read (and twice as many clean ones); landmarks; words of either class; turns.
-SAMPLE, LANDMARKS, WORDS, TURNS = 1500, 256, 4000, 3
-#: A word that so many toxic sentences, and so many a toxic document, and no clean one hold is held toxic from the start.
-SURE, SURE_SHARE = 5, 0.015
-#: So many of the surest words are also learnt with inserted characters.
-GAPPED = 60
-#: A longer string is cut into overlapping parts of this many characters; so no string is unbounded.
-PART, STRIDE = 40, 30
-START, END, OTHER = 29, 30, 28
-#: A word is kept with its score up to so many words a worker.
-KEPT = 400_000
+ORDER, SPAN, DECAY, WINDOW = 4, 7, 0.65, 12
+#: Labelled toxic documents that the fit may read (and twice as many clean ones, and common.SAMPLE_BYTES of text); landmarks; turns; one in
+#: so many documents is kept for scaling; share of clean sentences that a toxic one must outdo; cost of an error.
+SAMPLE, LANDMARKS, TURNS, SCALED, CLEAN, COST = 1500, 256, 3, 4, 0.99, 30.0
+END, BLANK, OTHER, WIDE = 30, 29, 28, 27
+#: Characters that are looked at together.
+PIECE = 1 << 18
+#: Room between texts, and windows with their last subsequences.
+ROOM = WINDOW + SPAN - 1
 _SHAPES = [c for c in itertools.combinations(range(1, SPAN), ORDER - 1)]
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-_EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}*#$%&|<>~`^_=+/\\-"
+_WEIGHTS = [DECAY ** (s[-1] + 1) for s in _SHAPES]
+#: The root of the self-kernel of a window none of whose subsequences repeats.
+NORM = float(np.sqrt(WINDOW * sum(w * w for w in _WEIGHTS)))
 #: Characters that stand for letters.
 _STANDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 
 def _letter(c: str) -> int:
-    c = _STANDS.get(c, c)
-    base = unicodedata.normalize("NFD", c)[:1]
-    return ord(base) - 96 if "a" <= base <= "z" else 27 if base.isalnum() else OTHER
-
-
-class _Codes(dict):
-    def __missing__(self, c: str) -> int:
-        got = self[c] = _letter(c)
-        return got
-
-
-_CODES = _Codes()
-
-
-def words_of(text: str) -> set[str]:
-    """The distinct strings of a text that the kernel looks at."""
-    text = text.lower()
-    got = {w.strip(_EDGE) for w in set(text.split())}
-    got.update(m.group().replace(" ", "") for m in _SPACED.finditer(text))
-    got.discard("")
-    return got
-
-
-def sentences_of(text: str) -> list[str]:
-    return [s for s in re.split(r"[.!?\n]+", text) if not s.isspace() and s]
-
-
-def variants(word: str) -> list[str]:
-    """The word with characters inserted: between all letters, and after the second and before the last."""
-    return ["-".join(word), f"{word[:2]}.{word[2:-1]}*{word[-1:]}", f"{word[:-2]}_{word[-2:]}"] if len(word) > 3 else []
-
-
-def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of all parts with room between them, start of each part, its length, its word)."""
-    codes: list[int] = []
-    starts, sizes, owner = [], [], []
-    room = [0] * SPAN
-    for i, word in enumerate(words):
-        for k in range(0, max(1, len(word) - (PART - STRIDE)), STRIDE) if len(word) > PART else (0,):
-            part = word[k : k + PART]
-            starts.append(len(codes))
-            sizes.append(len(part) + 2)
-            owner.append(i)
-            codes.append(START)
-            codes.extend(map(_CODES.__getitem__, part))
-            codes.append(END)
-            codes += room
-    return np.array(codes, np.int64), np.array(starts, np.int64), np.array(sizes, np.float64), np.array(owner, np.int64)
-
-
-def _each(codes: np.ndarray):
-    """(position, subsequence, weight) of every subsequence in the codes, shape by shape."""
-    n = len(codes) - SPAN
-    for shape in _SHAPES:
-        key = codes[:n] << 15
-        whole = codes[:n] > 0
-        for shift, at in zip((10, 5, 0), shape, strict=True):
-            key = key | (codes[at : n + at] << shift)
-            whole = whole & (codes[at : n + at] > 0)
-        yield key, whole, DECAY ** (shape[-1] + 1)
-
-
-def norm(size: np.ndarray) -> np.ndarray:
-    """The root of the self-kernel of a string of that many characters, none of which repeats."""
-    sizes = np.arange(PART + 4)
-    square = sum(np.maximum(0, sizes - shape[-1]) * DECAY ** (2 * shape[-1] + 2) for shape in _SHAPES)
-    return np.sqrt(np.maximum(square, DECAY ** (2 * ORDER)))[size.astype(np.int64)]
-
-
-def _sparse(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each word's (subsequences, weights), of its first part, normed."""
-    out = []
-    for word in words:
-        codes, _, size, _ = _flat([word[:PART]])
-        keys, weights = [], []
-        for key, whole, weight in _each(codes):
-            keys.append(key[whole])
-            weights.append(np.full(int(whole.sum()), weight))
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        out.append((key, np.bincount(at, np.concatenate(weights), len(key)) / norm(size)[0]))
+    """The code of a character; 0 for one that can't be seen by itself."""
+    if c.isspace():
+        return BLANK
+    if unicodedata.category(c) in ("Cf", "Mn", "Me", "Cc", "Cs"):
+        return 0
+    c = _STANDS.get(c, c.lower())
+    base = unicodedata.normalize("NFKD", c)[:1]
+    return ord(base) - 96 if "a" <= base <= "z" else WIDE if base.isalnum() else OTHER
+
+
+_LOW = 0x2100
+_STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
+_TABLE = np.array([_letter(chr(i)) for i in range(_LOW)], np.uint8)
+
+
+def codes(text: str, ends: bool = False) -> np.ndarray:
+    """The text's codes: a blank at either end; runs of blanks and of other marks drawn together; marks between letters, and
+    what stands between letters that stand alone, left out. With `ends`, the ends of sentences are codes of their own."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    out = _TABLE[np.minimum(points, _LOW - 1)]
+    high = np.flatnonzero(points >= _LOW)
+    if len(high):
+        some, at = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([_letter(chr(p)) for p in some.tolist()], np.uint8)[at]
+    if ends:
+        stop = np.isin(points, _STOPS) & np.concatenate((out[1:] == BLANK, [True]))
+        out = np.where(stop | (points == 10), END, out)
+    out = np.concatenate(([BLANK], out[out > 0], [BLANK])).astype(np.uint8)
+    out = out[np.concatenate(([True], (out[1:] != out[:-1]) | (out[1:] < OTHER)))]
+    if len(out) < 3:
+        return out
+    letter = out < OTHER
+    out = out[np.concatenate(([True], (out[1:-1] != OTHER) | ~(letter[:-2] & letter[2:]), [True]))]
+    out = out[np.concatenate(([True], (out[1:-1] != OTHER) | ~((out[:-2] == BLANK) | (out[2:] == BLANK)), [True]))]
+    letter = out < OTHER
+    alone = np.concatenate(([False], letter[1:-1] & ~letter[:-2] & ~letter[2:], [False]))
+    return out[np.concatenate(([True], letter[1:-1] | (out[1:-1] == END) | ~(alone[:-2] & alone[2:]), [True]))]
+
+
+def sentences_of(text: str) -> list[np.ndarray]:
+    """The codes of the text's sentences, each with a blank at either end; of a text without any, a blank."""
+    whole = codes(text, True)
+    at = np.flatnonzero(whole == END)
+    whole[at] = BLANK
+    edges = [0, *at.tolist(), len(whole) - 1]
+    return [whole[a : b + 1] for a, b in zip(edges, edges[1:], strict=False) if b - a > 1] or [whole[:1]]
+
+
+def _keys(stream: np.ndarray):
+    """(subsequence at each place, weight) of the codes, shape by shape; one over a gap has a code of 0 in it."""
+    small = stream.astype(np.int32)
+    n = len(small) - SPAN + 1
+    first, second, third = small[:n] << 15, small << 10, small << 5
+    for (a, b, c), weight in zip(_SHAPES, _WEIGHTS, strict=True):
+        yield first | second[a : n + a] | third[b : n + b] | small[c : n + c], weight
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(one stream, where each part starts), with room between."""
+    room = np.zeros(ROOM, np.uint8)
+    at = np.cumsum([0, *(len(p) + ROOM for p in parts)])
+    return np.concatenate([x for p in parts for x in (p, room)] + [room]), at[:-1]
+
+
+def _window_sums(stream: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What the weights give the window that starts at each place."""
+    n = len(stream) - SPAN + 1
+    total = np.zeros(n, np.float32)
+    for key, weight in _keys(stream):
+        total += weights[key] * np.float32(weight / NORM)
+    sums = np.concatenate(([0.0], np.cumsum(total, dtype=np.float64)))
+    return sums[WINDOW:] - sums[:-WINDOW]
+
+
+def _pieces(parts: list[np.ndarray]):
+    """Runs of parts of about PIECE codes, as (index of the first, run)."""
+    start, held = 0, 0
+    for i, p in enumerate(parts):
+        held += len(p) + ROOM
+        if held >= PIECE:
+            yield start, parts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(parts):
+        yield start, parts[start:]
+
+
+def best_windows(parts: list[np.ndarray], weights: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of the most telling window of each part, of those that start at its first `most` codes if that is given."""
+    value, place = np.zeros(len(parts)), np.zeros(len(parts), np.int64)
+    for start, run in _pieces(parts):
+        stream, at = _joined(run)
+        sums = _window_sums(stream, weights)
+        sums[stream[: len(sums)] == 0] = -np.inf  # a window starts within its part
+        for p, k in zip(run, at.tolist(), strict=True):
+            if most is not None and len(p) > most:
+                sums[k + most : k + len(p)] = -np.inf
+        best = np.maximum.reduceat(sums, at)
+        own = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(sums))))
+        hit = np.flatnonzero(sums == best[own])
+        first = hit[np.concatenate(([True], own[hit][1:] != own[hit][:-1]))]
+        value[start : start + len(run)], place[start : start + len(run)] = best, first - at
+    return value, place
+
+
+def _cut(parts: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """The windows at these places, a row each."""
+    out = np.zeros((len(parts), ROOM), np.uint8)
+    for row, p, k in zip(out, parts, place.tolist(), strict=True):
+        got = p[k : k + ROOM]
+        row[: len(got)] = got
     return out
 
 
-def _kernels(words: list[str], keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Kernels of the words' first parts to the landmarks, whose weights by subsequence are the table's columns."""
-    index = np.full(1 << 20, -1, np.int32)
+def window_features(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequences, weights) of one window, normed."""
+    pairs = [(key, np.full(len(key), weight)) for key, weight in _keys(window)]
+    key, weight = np.concatenate([k for k, _ in pairs]), np.concatenate([w for _, w in pairs])
+    whole = np.ones(len(key), bool)
+    for shift in (0, 5, 10, 15):
+        whole &= (key >> shift) & 31 > 0
+    key, at = np.unique(key[whole], return_inverse=True)
+    return key, np.bincount(at, weight[whole], len(key)) / NORM
+
+
+def kernels(windows: np.ndarray, keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Kernels of the windows to the landmarks, whose weights by subsequence are the table's columns."""
+    index = np.full(1 << 20, len(keys), np.int32)
     index[keys] = np.arange(len(keys))
-    out = np.zeros((len(words), table.shape[1]))
-    for k in range(0, len(words), 500):
-        codes, starts, sizes, _ = _flat([w[:PART] for w in words[k : k + 500]])
-        got = np.zeros((len(starts), table.shape[1]))
-        for key, whole, weight in _each(codes):
-            row = np.where(whole, index[key], -1)
-            at = np.flatnonzero(row >= 0)
-            if len(at):
-                owner = np.searchsorted(starts, at, "right") - 1
-                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                got[owner[first]] += np.add.reduceat(table[row[at]], first, axis=0) * weight
-        out[k : k + 500] = got / norm(sizes)[:, None]
-    return out
+    padded = np.concatenate((table, np.zeros((1, table.shape[1]), table.dtype)))
+    out = np.zeros((len(windows), table.shape[1]), np.float32)
+    for k in range(0, len(windows), 512):
+        part = windows[k : k + 512]
+        row, place = np.nonzero(part[:, :WINDOW])
+        flat = part.astype(np.int32)
+        for (a, b, c), weight in zip(_SHAPES, _WEIGHTS, strict=True):
+            at = index[flat[row, place] << 15 | flat[row, place + a] << 10 | flat[row, place + b] << 5 | flat[row, place + c]]
+            some = np.flatnonzero(at < len(keys))
+            if len(some):
+                r = row[some]
+                first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                out[k + r[first]] += np.add.reduceat(padded[at[some]], first, axis=0) * np.float32(weight / NORM)
+    return out.astype(np.float64)
 
 
 class KernelMachine:
@@ -158,42 +198,21 @@ class KernelMachine:
 
     def __init__(self):
         self.weights, self.bias, self.scale, self.shift, self.prior = None, 0.0, 1.0, 0.0, 0.0
-        self.known: dict[str, float] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def values(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word: the largest of its parts."""
-        out = np.full(len(words), -np.inf)
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            codes, starts, sizes, owner = _flat(part)
-            total = np.zeros(len(codes), np.float32)
-            n = len(codes) - SPAN
-            small = codes.astype(np.int32)
-            shifted = [small << s for s in (15, 10, 5, 0)]
-            for shape in _SHAPES:  # a stretch with a gap between words has a weight of 0
-                key = shifted[0][:n] | shifted[1][shape[0] : n + shape[0]] | shifted[2][shape[1] : n + shape[1]] | shifted[3][shape[2] : n + shape[2]]
-                total[:n] += self.weights[key] * np.float32(DECAY ** (shape[-1] + 1))
-            got = np.add.reduceat(total, starts) / norm(sizes) + self.bias
-            np.maximum.at(out, k + owner, got)
-        return out
 
     def documents(self, texts: list[str]) -> np.ndarray:
-        """The value of each text's most telling word; of none: the bias less one."""
-        each = [words_of(t) for t in texts]
-        new = [w for w in set().union(*each) if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(set().union(*each))
-        if new:
-            self.known.update(zip(new, self.values(new).tolist(), strict=True))
-        least = self.bias - 1
-        return np.array([max(map(self.known.__getitem__, ws), default=least) for ws in each])
+        """The value of each text's most telling window; a long text is cut into pieces that lap over by a window."""
+        out = np.full(len(texts), -np.inf)
+        parts, owner = [], []
+        for i, t in enumerate(texts):
+            whole = codes(t)
+            for k in range(0, len(whole), PIECE):
+                parts.append(whole[k : k + PIECE + ROOM])
+                owner.append(i)
+        np.maximum.at(out, owner, best_windows(parts, self.weights, PIECE)[0])
+        return out + self.bias
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if self.weights is None:
+        if self.weights is None or not texts:
             return np.full(len(texts), self.prior)
         return 1 / (1 + np.exp(-np.clip(self.scale * self.documents(texts) + self.shift, -30, 30)))
 
@@ -213,107 +232,107 @@ def _hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, turns: int = 12) -> np.n
     return w
 
 
-def learn(texts: list[str], y: np.ndarray, seed: int = 3) -> KernelMachine:
-    """The machine from labelled documents (1: toxic)."""
-    out = KernelMachine()
-    out.prior = float(y.mean()) if len(y) else 0.0
-    if not len(y) or y.min() == y.max():
-        return out
+def _telling(parts: list[np.ndarray], doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many more toxic documents than clean ones hold each subsequence: a logarithm."""
+    seen = np.zeros((2, 1 << 20), np.int32)
+    edges = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        here = np.zeros(1 << 20, bool)
+        for key, _ in _keys(_joined(parts[a:b])[0]):
+            here[key] = True
+        seen[int(y[doc[a]])] += here
+    own = np.unique(doc)
+    share = (y[own] == 1).sum() / max(1, (y[own] == 0).sum())
+    low = min(1.0, share)
+    return np.log((seen[1] * (low / share) + 1) / (seen[0] * low + 1)).astype(np.float32)
+
+
+def learn_sentences(parts: list[np.ndarray], doc: np.ndarray, y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
+    """(weights, bias) from sentences (codes), the document of each, and the documents' labels."""
     rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}
-    code = lambda ws: np.fromiter((number.setdefault(w, len(number)) for w in sorted(ws)), np.int32)
-    # A sentence counts once, so that a word of a much copied document doesn't look like many.
-    sentences, bags, known, new = [], [], set(), []
-    for text, label in zip(texts, y, strict=True):
-        own = []
-        for sentence in sentences_of(text):
-            own.append(code(words_of(sentence)))
-            if (key := (hash(sentence.strip()), int(label))) not in known:
-                known.add(key)
-                new.append((own[-1], int(label)))
-        sentences.append([s for s in own if len(s)])
-        bags.append(np.unique(np.concatenate([*own, code(words_of(text))])))
-    words = list(number)
-    seen = np.zeros((2, len(words)))
-    for own, label in new:
-        seen[label, own] += 1
-    for bag, label in zip(bags, y, strict=True):
-        seen[int(label), bag[seen[:, bag].sum(0) == 0]] = 1
-    share = max(1, (y == 1).sum()) / max(1, (y == 0).sum())
-    # How telling a word is before there is a machine: sentences of either class that hold it.
-    value = np.log((seen[1] + 0.05) / (seen[0] * share + 0.5))
-    toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    calm = [words[i] for i in rng.permutation(np.flatnonzero(seen[0]))[: 2 * WORDS]]
-    is_sure = (seen[0] == 0) & (seen[1] >= max(SURE, SURE_SHARE * len(toxic)))
-    sure = {words[i]: int(seen[1, i]) for i in np.flatnonzero(is_sure)}
-    for turn in range(TURNS):
-        if turn:
-            value = out.values(words)
-        held = dict(sure)
-        for i in toxic:
-            if is_sure[bags[i]].any():
-                continue  # what makes it toxic is known
-            for sentence in sentences[i] + ([bags[i]] if len(bags[i]) else []):
-                best = int(sentence[value[sentence].argmax()])
-                # A sentence of a toxic document is toxic if its best word is, or if no other of its document is.
-                if seen[0, best] == 0 and (value[best] > (1.0 if turn == 0 else 0.0) or sentence is bags[i]):
-                    held[words[best]] = held.get(words[best], 0) + 1
-        positive = sorted(held, key=lambda w: (-held[w], w))[:WORDS]
-        gapped = {v: 10 for w in positive[:GAPPED] if w in sure for v in variants(w) if v not in held}
-        positive += gapped
-        held |= gapped
-        if turn == 0:
-            negative = calm[:WORDS]
-        else:
-            hard = np.unique([int(s[value[s].argmax()]) for i in clean for s in sentences[i]])
-            hard = [words[i] for i in hard[np.argsort(-value[hard], kind="stable")][: WORDS // 2]] if len(hard) else []
-            negative = list(dict.fromkeys(hard + calm[: WORDS // 2]))
-        marks = list(dict.fromkeys(positive[: LANDMARKS // 2] + list(gapped)[: LANDMARKS // 8] + [positive[i] for i in rng.permutation(len(positive))[: LANDMARKS // 16]] + negative[: LANDMARKS // 4] + calm[: LANDMARKS // 4]))[:LANDMARKS]
-        parts = _sparse(marks)
-        keys = np.unique(np.concatenate([k for k, _ in parts]))
+    toxic = y[doc] == 1
+    weights, bias = _telling(parts, doc, y), 0.0
+    for _ in range(TURNS):
+        value, place = best_windows(parts, weights)
+        # The most telling sentence of each document.
+        order = np.lexsort((-value, doc))
+        top = np.zeros(len(parts), bool)
+        top[order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]] = True
+        held = toxic & (top | (value > np.quantile(value[~toxic], CLEAN)))
+        yes, no = np.flatnonzero(held), np.flatnonzero(~toxic & top)
+        some = np.flatnonzero(~toxic)[rng.permutation(int((~toxic).sum()))[: len(no)]]
+        anywhere = np.array([rng.integers(max(1, len(parts[i]) - WINDOW)) for i in some])
+        positive = np.unique(_cut([parts[i] for i in yes], place[yes]), axis=0)
+        negative = np.unique(np.concatenate((_cut([parts[i] for i in no], place[no]), _cut([parts[i] for i in some], anywhere))), axis=0)
+        # Landmarks: more of the class whose windows are alike.
+        marks = np.concatenate([w[rng.permutation(len(w))[:n]] for w, n in ((positive, LANDMARKS * 3 // 4), (negative, LANDMARKS // 4))])
+        made = [window_features(m) for m in marks]
+        keys = np.unique(np.concatenate([k for k, _ in made]))
         table = np.zeros((len(keys), len(marks)), np.float32)
-        for j, (k, v) in enumerate(parts):
+        for j, (k, v) in enumerate(made):
             table[np.searchsorted(keys, k), j] = v
-        kernel = table.T.astype(np.float64) @ table
-        value_, vector = np.linalg.eigh(kernel)
-        keep = value_ > 1e-6 * value_.max()
-        white = vector[:, keep] / np.sqrt(value_[keep])
-        strings = positive + negative
-        rows = _kernels(strings, keys, table)
+        root, vector = np.linalg.eigh(table.T.astype(np.float64) @ table)
+        keep = root > 1e-6 * root.max()
+        white = vector[:, keep] / np.sqrt(root[keep])
+        rows = kernels(np.concatenate((positive, negative)), keys, table)
         x = np.concatenate((rows @ white, np.ones((len(rows), 1))), 1)
         sign = np.where(np.arange(len(x)) < len(positive), 1.0, -1.0)
-        cost = np.where(sign > 0, [*(min(100, held[w]) for w in positive), *[0] * len(negative)], 5.0) * 3
+        cost = COST * np.where(sign > 0, max(1.0, len(negative) / len(positive)), 1.0)
         w = _hinge(x, sign, cost)
-        out.weights, out.bias, out.known = np.zeros(1 << 20, np.float32), float(w[-1]), {}
-        out.weights[keys] = table @ (white @ w[:-1])
-    v = out.documents(texts)
-    # Platt's scaling of the documents' values.
+        weights, bias = np.zeros(1 << 20, np.float32), float(w[-1])
+        weights[keys] = table @ (white @ w[:-1])
+    return weights, bias
+
+
+def learn(texts: list[str], y: np.ndarray, seed: int = 3) -> KernelMachine:
+    """The machine from labelled documents (1: toxic). Scores are scaled (Platt) by the values of documents that it isn't trained on."""
+    out = KernelMachine()
+    out.prior = float(y.mean()) if len(y) else 0.0
+    if not len(y) or y.min() == y.max():
+        return out
+    parts, doc, known = [], [], set()
+    for i, (text, label) in enumerate(zip(texts, y.tolist(), strict=True)):
+        for own in sentences_of(text):
+            # A sentence counts once, so that a much copied document doesn't look like many.
+            if (key := (own.tobytes(), label)) not in known:
+                known.add(key)
+                parts.append(own)
+                doc.append(i)
+    doc = np.array(doc)
+    # Of either class a part is kept for scaling, so what is scaled are values of documents the machine hasn't seen.
+    rng = np.random.default_rng(seed)
+    held = np.zeros(len(y), bool)
+    for label in (0, 1):
+        own = rng.permutation(np.flatnonzero(y == label))
+        held[own[: len(own) // SCALED]] = True
+    at = np.flatnonzero(~held[doc])
+    out.weights, out.bias = learn_sentences([parts[i] for i in at], doc[at], y, seed)
+    if not held.any() or y[held].min() == y[held].max():
+        held[:] = True
+    value = out.documents([texts[i] for i in np.flatnonzero(held)])
+    out.scale, out.shift = _scaled(value, y[held])
+    return out
+
+
+def _scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) by Platt's method. The rarer class weighs more, by the root of the ratio of their numbers: half way to the scores
+    that documents would have if either class were as frequent."""
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    weight = np.sqrt(n.max() / n)[y]
+    t = np.where(y == 1, 1 - 1 / (n[1] + 2), 1 / (n[0] + 2))
     a, b = 2.0, 0.0
-    t = np.where(y == 1, 1 - 1 / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * v + b, -30, 30)))
-        g = np.array([((p - t) * v).sum() + 1e-3 * a, (p - t).sum()])
-        q = p * (1 - p) + 1e-9
-        h = np.array([[(q * v * v).sum() + 1e-3, (q * v).sum()], [(q * v).sum(), q.sum()]])
-        d = np.linalg.solve(h + 1e-6 * np.eye(2), g)
+        p = 1 / (1 + np.exp(-np.clip(a * value + b, -30, 30)))
+        e, q = weight * (p - t), weight * p * (1 - p) + 1e-9
+        h = np.array([[(q * value * value).sum() + 1e-3, (q * value).sum()], [(q * value).sum(), q.sum()]])
+        d = np.linalg.solve(h + 1e-6 * np.eye(2), np.array([(e * value).sum() + 1e-3 * a, e.sum()]))
         a, b = a - float(np.clip(d[0], -2, 2)), b - float(np.clip(d[1], -2, 2))
-    out.scale, out.shift = a, b
-    return out
+    return a, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> KernelMachine:
-    """Learns from at most 3 * sample labelled documents (those of `where`)."""
-    rows, known = common.labelled_sample(docs, labels, "toxic", sample, where, 2 * sample)
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        model = learn([r[1] for r in got], np.array([r[2] for r in got], np.int64))
-        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    # One task trains on the sample, which the parameter bounds; the driver gets the weights.
-    some = rows.join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
-    got = some.repartition(1).mapInArrow(train, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else KernelMachine()
+    """Learns, in one task, from at most 3 * sample labelled documents (those of `where`)."""
+    return common.trained(docs, labels, "toxic", sample, learn, where, 2 * sample) or KernelMachine()
 
 
 def score(docs: DataFrame, model: KernelMachine, least: float = 0.3) -> DataFrame:

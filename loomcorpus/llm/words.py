@@ -7,8 +7,13 @@ bytes only, so it is the same on every machine.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Bytes whose words are looked for together, so that what is held a byte is held for these alone.
+BLOCK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -18,12 +23,14 @@ _powers = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo 2**64; the table grows with the longest run seen."""
+    """base ** 0, 1, ... n - 1 modulo 2**64; a table of a block's powers is kept."""
     got = _powers.get(base)
     if got is None or len(got) < n:
-        got = np.full(max(n, 1 << 16) + 1024, base, np.uint64)
+        got = np.full(max(n, BLOCK + 4096), base, np.uint64)
         got[0] = 1
-        _powers[base] = got = np.multiply.accumulate(got)
+        got = np.multiply.accumulate(got)
+        if n <= BLOCK + 4096:
+            _powers[base] = got
     return got[:n]
 
 
@@ -43,15 +50,25 @@ class Words:
         self.n = len(texts)
         joined = b"\n".join(texts) + b"\n"
         self.buf = np.frombuffer(joined, np.uint8)
-        space = _SPACE[self.buf]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space))))
-        self.start, self.end = edge[::2], edge[1::2]
+        starts, ends, hashes, low = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+        while low < len(joined):  # a block ends with white space, as the whole does
+            high = _BLANK.search(joined, min(low + BLOCK, len(joined) - 1)).end()
+            for held, part in zip((starts, ends, hashes), self._block(self.buf[low:high], low), strict=True):
+                held.append(part)
+            low = high
+        self.start, self.end, self.hash = map(np.concatenate, (starts, ends, hashes))
         self.at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
         self.doc = np.searchsorted(self.at, self.start, "right") - 1
         self.first = np.searchsorted(self.start, self.at)
-        sums = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(self.buf)), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _power(_INVERSE, len(self.buf))[self.start])
+
+    @staticmethod
+    def _block(buf: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash) of the words of a block that begins at `low`."""
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf]))))
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(buf)), out=sums[1:])
+        return start + low, end + low, mix((sums[end] - sums[start]) * _power(_INVERSE, len(buf))[start])
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of k words within one text."""

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import ann, bpe, graph, jaccard, mixing, pii, quality, queries, rules, secrets, stages, token_counts, toxicity
+from loomcorpus.llm import ann, bpe, common, graph, jaccard, mixing, pii, quality, queries, rules, secrets, stages, token_counts, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,8 +50,8 @@ def test_codec_equals_the_library(real, monkeypatch):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library, codec = Tokenizer.from_file(path), bpe.Codec(path)
-    monkeypatch.setattr(bpe, "WORDS", 500)  # the caches are emptied on the way
-    monkeypatch.setattr(bpe, "CHUNKS", 20)
+    monkeypatch.setattr(bpe, "WORDS", 1 << 16)  # the caches are emptied on the way
+    monkeypatch.setattr(bpe, "CHUNKS", 1 << 13)
     texts = ODD + real[:60]
     for start in range(0, len(texts), 7):
         part = texts[start : start + 7]
@@ -248,7 +249,7 @@ def test_graph(spark):
     for a, b in edges:
         x, y = top(a), top(b)
         up[max(x, y)] = min(x, y)
-    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(edges, "u long, v long"), common.Scratch(spark)).collect()}
     assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
 
 
@@ -296,28 +297,42 @@ def test_held_out_toxicity(spark):
 
 
 def test_kernel_weights_equal_the_kernel():
-    def kernel(s, t):
-        a, b = (dict(zip(*(x.tolist() for x in p), strict=True)) for p in toxicity._sparse([s, t]))
-        return sum(v * b.get(k, 0) for k, v in a.items())
-
     def plain(s, t):
-        code = lambda w: [toxicity.START, *map(toxicity._letter, w), toxicity.END]
-        import itertools
-
         def features(w):
             out = collections.Counter()
-            c = code(w)
-            for at in itertools.combinations(range(len(c)), toxicity.ORDER):
-                if at[-1] - at[0] < toxicity.SPAN:
-                    out[tuple(c[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+            for at in itertools.combinations(range(len(w)), toxicity.ORDER):
+                if at[0] < toxicity.WINDOW and at[-1] - at[0] < toxicity.SPAN and all(w[i] for i in at):
+                    out[tuple(w[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
             return out
 
-        a, b = features(s), features(t)
-        n = toxicity.norm(np.array([len(s) + 2, len(t) + 2], float))
-        return sum(v * b[k] for k, v in a.items()) / n[0] / n[1]
-
-    for s, t in (("idiot", "id-iot"), ("moron", "mormon"), ("abc", "xyz"), ("aa", "aaaa")):
-        assert abs(kernel(s, t) - plain(s, t)) < 1e-9
+        a, b = features(s.tolist()), features(t.tolist())
+        return sum(v * b[k] for k, v in a.items()) / toxicity.NORM**2
+
+    texts = ["you idiot", "id-i ot you", "a moron here", "mormon", "abc", "aa", "aaaa aaaa"]
+    windows = toxicity._cut([toxicity.codes(t) for t in texts], np.zeros(len(texts), int))
+    made = [toxicity.window_features(w) for w in windows]
+    keys = np.unique(np.concatenate([k for k, _ in made]))
+    table = np.zeros((len(keys), len(made)), np.float32)
+    for j, (k, v) in enumerate(made):
+        table[np.searchsorted(keys, k), j] = v
+    kernel = toxicity.kernels(windows, keys, table)
+    assert np.allclose(kernel, [[plain(s, t) for t in windows] for s in windows], atol=1e-6)
+    # Folded into a weight a subsequence, the machine gives what the sum over landmarks does.
+    alpha = np.random.default_rng(0).normal(size=len(made))
+    weights = np.zeros(1 << 20, np.float32)
+    weights[keys] = table @ alpha
+    value, place = toxicity.best_windows([toxicity.codes(t) for t in texts], weights)
+    at_place = toxicity._cut([toxicity.codes(t) for t in texts], place)
+    assert np.allclose(value, toxicity.kernels(at_place, keys, table) @ alpha, atol=1e-4)
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    model = toxicity.KernelMachine()
+    model.weights = np.random.default_rng(1).normal(size=1 << 20).astype(np.float32)
+    texts = ["some words and others " * 40 + "idiot " + "more of them " * 30, "x", ""]
+    want = model.documents(texts)
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    assert np.allclose(model.documents(texts), want, atol=1e-4)
 
 
 def test_gapped_insults():
