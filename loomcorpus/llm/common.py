@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Bytes of text that one step of an Arrow function looks at together; a longer text comes alone.
 SLICE_BYTES = 2 << 20
@@ -227,20 +228,24 @@ class Scratch:
         discard(self.spark, self.folder)
 
 
-def join_split(scratch: Scratch, left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", share: int = 2000, least: int = 200) -> DataFrame:
-    """left.join(right, key, how), by a shuffle in which no key lands in one task with more than 1 / share of `left` (or `least` rows).
+def join_split(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", counted: DataFrame | None = None, share: int = 2000, least: int = 300) -> DataFrame:
+    """left.join(right, key, how), by a shuffle in which no key lands in one task with many more rows of `left` than others.
 
-    The rows of a key that has more are dealt out by the hash of the column `spread`, and right's rows of that key go to each part. Fewer than
-    `share` keys can have so many rows: their table is broadcast."""
-    total = left.count()
-    limit = max(least, total // share)
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit) if total > limit else None
-    hot = None if hot is None else scratch.put(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")), "hot")
-    if hot is None or hot.isEmpty():
+    Of the `share` keys with the most rows (a bounded list, all that reaches the driver) those with over `least`, and over 1 / share of all
+    the listed ones' rows, are split: their rows are dealt out by the hash of the column `spread`, and right's rows of that key go to each
+    part. A key that isn't listed has fewer rows than any that is, so under 1 / share of `left`. `counted`: rows with the keys of `left`, where they
+    are cheaper to read."""
+    counts = (left if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n"))
+    most = counts.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(share)
+    top = most.collect()
+    limit = max(least, sum(r["_n"] for r in top) // share)
+    hot = [(r[key], -(-r["_n"] // limit)) for r in top if r["_n"] > limit]
+    if not hot:
         return left.join(right, key, how)
-    salts = F.coalesce("_salts", F.lit(1))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
-    sent = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    schema = StructType([most.schema[key], StructField("_salts", IntegerType())])
+    listed, salts = F.broadcast(left.sparkSession.createDataFrame(hot, schema)), F.coalesce("_salts", F.lit(1))
+    dealt = left.join(listed, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    sent = right.join(listed, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return dealt.join(sent, [key, "_salt"], how).drop("_salt")
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: With fewer edges no node is looked for that has many.
+HOT = 300
+
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(node, label) of every node of the edges (u, v): the least node that it reaches. Repeated edges and loops count for nothing;
@@ -24,8 +27,9 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
         before = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = common.join_split(scratch, both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.put(large.distinct(), "stars")
+        joined = common.join_split if state[0] > HOT else lambda left, right, key, _: left.join(right, key)
+        large = joined(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.put(large, "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = common.join_split(scratch, large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = joined(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.put(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

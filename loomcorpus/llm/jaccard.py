@@ -204,15 +204,14 @@ def _overlap(a, b):
     return pd.Series([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def verified(scratch: common.Scratch, pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps by fragment, summed per pair, against the sizes. A set of many pairs, as one that
     a group is compared with, is dealt over several tasks."""
     left = segments.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
     right = segments.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
-    parts = pairs.select("a", "b", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-    met = common.join_split(scratch, parts.withColumn("_a", F.struct("a", "part")), left.select(F.struct("a", "part").alias("_a"), "na", "ta"), "_a", "b")
-    met = scratch.put(met.select("a", "b", F.struct("b", "part").alias("_b"), "na", "ta"), "halves")
-    met = common.join_split(scratch, met, right.select(F.struct("b", "part").alias("_b"), "nb", "tb"), "_b", "a")
+    parts = pairs.select("a", "b", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part")).select("a", "b", F.struct("a", "part").alias("_a"), F.struct("b", "part").alias("_b"))
+    met = common.join_split(parts, left.select(F.struct("a", "part").alias("_a"), "na", "ta"), "_a", "b").drop("_a")
+    met = common.join_split(met, right.select(F.struct("b", "part").alias("_b"), "nb", "tb"), "_b", "a", counted=parts)
     common.hold_batches(pairs.sparkSession)
     counted = met.select("a", "b", "na", "nb", F.pandas_udf(_overlap, "long")("ta", "tb").alias("both"))
     total = counted.groupBy("a", "b").agg(F.sum("both").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -243,14 +242,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         texts = kept.where("part = -1").select("doc_id", "mark", "n", "node")
         segments = kept.where("part >= 0").select("node", "n", "part", "tokens")
         postings = kept.where("part = 0").select("node", "n", "own", F.posexplode("prefix").alias("_i", "token")).select("node", "n", "own", "token", (F.col("own") + F.col("_i")).alias("pos"))
-        postings = scratch.put(meeting(scratch, scratch.put(postings, "prefixes"), percent), "postings")
+        postings = scratch.put(meeting(scratch.put(postings, "prefixes"), percent), "postings")
         labels = scratch.put(components(scratch, postings, segments, percent), "labels")
         # A set's rows, then a component's sets, are aggregated; what they give goes back to the rows.
         sets_ = texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
         sets_ = scratch.put(sets_, "least")
         least = sets_.groupBy("label").agg(F.min("least").alias("component_id"))
-        sets_ = scratch.put(common.join_split(scratch, sets_.select("node", "label"), least, "label", "node"), "components")
-        done = common.join_split(scratch, texts.where("node is not null"), sets_, "node", "doc_id").select("doc_id", "mark", F.col("n").alias("n_shingles"), "label", "component_id")
+        sets_ = scratch.put(common.join_split(sets_.select("node", "label"), least, "label", "node"), "components")
+        done = common.join_split(texts.where("node is not null"), sets_, "node", "doc_id").select("doc_id", "mark", F.col("n").alias("n_shingles"), "label", "component_id")
         none = texts.where("node is null").select("doc_id", "mark", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
         return scratch.last(done.unionAll(none), "classes")
 
@@ -260,11 +259,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return classes(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def meeting(scratch: common.Scratch, postings: DataFrame, percent: int) -> DataFrame:
+def meeting(postings: DataFrame, percent: int) -> DataFrame:
     """The postings from which enough is left to link with even the smallest of the sets that meet at their shingle."""
     least = postings.groupBy("token").agg(F.min("n").alias("_m"), F.count("*").alias("_c")).where("_c > 1")
     enough = F.lit(100 + percent) * (F.col("n") - F.col("pos")) >= F.lit(percent) * (F.col("n") + F.col("_m"))
-    return common.join_split(scratch, postings, least, "token", "node").where(enough).drop("_m", "_c")
+    return common.join_split(postings, least, "token", "node").where(enough).drop("_m", "_c")
 
 
 def components(scratch: common.Scratch, postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -274,13 +273,13 @@ def components(scratch: common.Scratch, postings: DataFrame, segments: DataFrame
     for turn in range(PIVOTS + 1):
         here = postings.withColumn("label", F.col("node"))
         if labels is not None:
-            here = common.join_split(scratch, postings, labels, "node", "token", "left").withColumn("label", F.coalesce("label", "node"))
+            here = common.join_split(postings, labels, "node", "token", "left").withColumn("label", F.coalesce("label", "node"))
         here = scratch.put(here, "open")
         order = F.struct("own", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "label") if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("n"), F.col("pos"), F.col("label"))
         open_ = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("p")).where("low <> high")
         if turn < PIVOTS:
             pivots = open_.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.label").alias("other_label"))
-            met = common.join_split(scratch, here, pivots, "token", "node").where(F.col("label") != F.col("other_label"))
+            met = common.join_split(here, pivots, "token", "node").where(F.col("label") != F.col("other_label"))
         else:
             met = _all_apart(scratch, here, open_, percent)
         pairs = met.where(_reach(percent)).select(*_pair("node", "other")).distinct()
@@ -290,7 +289,7 @@ def components(scratch: common.Scratch, postings: DataFrame, segments: DataFrame
         tried = pairs if tried is None else tried.unionAll(pairs)
         if pairs.isEmpty():  # sets at a shingle may link though none links with its pivot
             continue
-        found = scratch.put(verified(scratch, pairs, segments, percent), "links")
+        found = scratch.put(verified(pairs, segments, percent), "links")
         links = found if links is None else links.unionAll(found)
         labels = scratch.put(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "labels")
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
@@ -300,11 +299,11 @@ def _all_apart(scratch: common.Scratch, here: DataFrame, open_: DataFrame, perce
     """All that is still apart at a shingle, set by set. Sets link only if the smaller has PERCENT of the larger's shingles, so they
     meet by shingle and step of size (a factor of 100 / PERCENT each: in the same step or the next); the join itself tests what
     stands from the shingle on, and gives only pairs that can still link."""
-    apart = scratch.put(common.join_split(scratch, here, open_.select("token"), "token", "node"), "apart")
+    apart = scratch.put(common.join_split(here, open_.select("token"), "token", "node"), "apart")
     step = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
     left = apart.withColumn("key", F.struct("token", step.alias("step")))
     right = apart.select("token", F.col("label").alias("other_label"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
     right = right.select(F.struct("token", "step").alias("key"), "other_label", "other", "m", "at")
     # A row per pair and direction would be made twice: the smaller label leads.
-    met = common.join_split(scratch, left.select("key", "node", "n", "pos", "label"), right, "key", "node")
+    met = common.join_split(left.select("key", "node", "n", "pos", "label"), right, "key", "node")
     return met.where(F.col("label") < F.col("other_label"))

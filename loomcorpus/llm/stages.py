@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.classes(docs).where("label is not null").select("doc_id", "mark", "label")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
     with common.Scratch(spark) as scratch:
-        met = common.join_split(scratch, found, first, "label", "mark").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+        met = common.join_split(found, first, "label", "mark").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
         gone = scratch.last(met.where("NOT stays").select("doc_id", "mark").distinct(), "gone")
         twice = scratch.last(met.where("stays").groupBy("doc_id", "mark").count().where("count > 1").drop("count"), "twice")
     key, mark = common.free(docs, "_key"), common.free(docs, "_mark")
