@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +60,39 @@ def cut_shards(docs: DataFrame, chars: int, block: int, keep_tail: bool = False)
     """block_id, new_shard, of blocks of `block` documents in order: a shard ends with the block at which it has
     `chars` characters. The unfinished last shard is left out unless keep_tail.
 
-    The cut depends on where the last one was, so the blocks' sums, one small row a block, are walked in order in
-    one task; the documents are not."""
-    sums = docs.groupBy(F.floor(F.col("doc_id") / block).cast("long").alias("block_id")).agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block_id")
-        shard, held, out, done = 0, 0, [], []
-        for b, c, n in zip(rows["block_id"], rows["chars"], rows["n"], strict=True):
-            held += c
-            out.append((b, shard))
-            if held >= chars and n == block:
-                done.append(shard)
-                shard, held = shard + 1, 0
-        return pd.DataFrame([x for x in out if keep_tail or x[1] < shard], columns=["block_id", "new_shard"]).astype("int64")
-
-    return sums.groupBy().applyInPandas(walk, "block_id long, new_shard long")
+    The cut depends on where the last one was, so the blocks' sums, two numbers a block, are walked in order in one task, a
+    batch at a time: it holds one batch and goes from cut to cut by bisection of running sums. The documents aren't walked."""
+    sums = docs.groupBy(F.floor(F.col("doc_id") / block).cast("long").alias("block_id")).agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("n"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = 0, 0
+        for b in batches:
+            total, full = np.cumsum(b.column(1).to_numpy()), b.column(2).to_numpy() == block
+            ends, gone, at = np.flatnonzero(full), 0, 0
+            out = np.empty(len(b), np.int64)
+            while at < len(b):
+                # The first full block from here at which what is held reaches the size.
+                reach = np.searchsorted(total, chars - held + gone)
+                k = np.searchsorted(ends, max(reach, at))
+                stop = int(ends[k]) if k < len(ends) else len(b)
+                out[at : stop + 1] = shard
+                if stop == len(b):
+                    held += int(total[-1]) - gone
+                    break
+                shard, held, gone, at = shard + 1, 0, int(total[stop]), stop + 1
+            yield pa.record_batch([b.column(0), pa.array(out)], ["block_id", "new_shard"])
+
+    walked = sums.repartition(1).sortWithinPartitions("block_id").mapInArrow(walk, "block_id long, new_shard long")
+    if keep_tail:
+        return walked
+    # The last shard is whole only if its last block ends it, so its size tells.
+    sizes = walked.join(sums, "block_id").groupBy("new_shard").agg(F.sum("chars").alias("c"), F.max_by("n", "block_id").alias("n"))
+    return walked.join(sizes.where((F.col("c") >= chars) & (F.col("n") == block)), "new_shard").select("block_id", "new_shard")
+
+
+def first_in_order(docs: DataFrame, n: int, part: str = "shard", order: tuple[str, ...] = ("rg", "pos")) -> DataFrame:
+    """The first n documents in order, across files."""
+    return running_sum(docs.withColumn("_one", F.lit(1)), "_one", "_nth", part, order).where(F.col("_nth") <= n).drop("_one", "_nth")
 
 
 def content_ids(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -58,3 +58,24 @@ def momentum(step: Column, steps: int, down: float) -> Column:
 def weight_decay(step: Column, steps: int, scaled: float) -> Column:
     """Half a cosine, from `scaled` to 0."""
     return F.lit(scaled / 2) * (1 + F.cos(F.lit(3.141592653589793) * step / steps))
+
+
+def prefill_flops(tokens: Column) -> Column:
+    """Operations of reading a prompt: token t attends to as many as a layer's window lets it, so a layer's sum ramps up and then stays."""
+    def seen(w: Column) -> Column:
+        full = F.least(w, tokens)
+        return full * (full + 1) / 2 + (tokens - full) * full
+
+    own = F.aggregate("windows", F.lit(0.0), lambda a, w: a + 4.0 * F.col("width") * seen(w))
+    apart = 4.0 * F.col("width") * F.col("refs") * (F.col("cross") * tokens + F.col("ref_len") * F.col("enc_layers"))
+    return 2 * (F.col("matmul") - F.col("ref")) * tokens + 2 * F.col("ref") * F.col("refs") + own + apart
+
+
+def kv_bytes(layers: Column, kv_width: Column, element: int = 2) -> Column:
+    """Bytes that one token's keys and values take in the cache, over all layers; kv_width: heads of the cache times their size."""
+    return layers * 2 * kv_width * element
+
+
+def kv_read(context: Column, kv_width: Column, element: int = 2) -> Column:
+    """Bytes of the cache that one decoding step reads: each layer as far back as its window goes."""
+    return F.aggregate("windows", F.lit(0).cast("long"), lambda a, w: a + F.least(w, context).cast("long")) * 2 * kv_width * element

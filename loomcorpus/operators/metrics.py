@@ -19,6 +19,12 @@ def accuracy(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*by).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def with_baseline(rows: DataFrame, baselines: DataFrame, missing: float | None = None) -> DataFrame:
+    """`rows` (task) with baseline. A task that has none gets `missing`, or is an error when it is read."""
+    none = F.raise_error(F.concat(F.lit("no baseline: "), "task")).cast("double") if missing is None else F.lit(missing)
+    return rows.join(baselines.select("task", "baseline"), "task", "left").withColumn("baseline", F.coalesce("baseline", none))
+
+
 def centred(rows: DataFrame, percent: bool) -> DataFrame:
     """`rows` (accuracy, baseline) with centred: 0 at the baseline, 1 at all right. The baseline is in percent or a share."""
     b = F.col("baseline") * (0.01 if percent else 1.0)
@@ -27,7 +33,7 @@ def centred(rows: DataFrame, percent: bool) -> DataFrame:
 
 def composite(rows: DataFrame, tasks: list[str]) -> DataFrame:
     """Mean of centred over the tasks; no row unless all are there."""
-    of = rows.where(F.col("task").isin(tasks))
+    of = rows.where(F.col("task").isin(tasks))  # all tasks, or the categorical ones alone
     return of.agg(F.avg("centred").alias("composite"), F.countDistinct("task").alias("n_tasks")).where(F.col("n_tasks") == len(tasks))
 
 
@@ -58,11 +64,17 @@ def best_option(options: DataFrame, value: str, least: bool = True) -> DataFrame
 
 
 def common_prefix(*arrays):
-    """How many elements all arrays start with alike."""
-    least = F.least(*map(F.size, arrays)) if len(arrays) > 1 else F.size(arrays[0])
-    same = F.transform(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.coalesce(F.array_min(F.array(*((F.try_element_at(a, i).eqNullSafe(F.try_element_at(arrays[0], i))).cast("int") for a in arrays))), F.lit(0)))
-    stop = F.array_position(same, 0)
-    return F.when(least == 0, 0).when(stop > 0, stop - 1).otherwise(least).cast("long")
+    """How many elements all arrays start with alike; each array is gone through once."""
+    if len(arrays) == 1:
+        return F.size(arrays[0]).cast("long")
+    least = F.least(*map(F.size, arrays))
+    first, *rest = (F.slice(a, F.lit(1), least) for a in arrays)
+    same = None
+    for other in rest:
+        one = F.zip_with(first, other, lambda x, y: x.eqNullSafe(y))
+        same = one if same is None else F.zip_with(same, one, lambda x, y: x & y)
+    stop = F.array_position(same, False)
+    return F.when(stop > 0, stop - 1).otherwise(least).cast("long")
 
 
 def common_suffix(*arrays):

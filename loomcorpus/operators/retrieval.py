@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to all tasks at a time; a larger query set is searched in as many rounds.
-QUERIES = 20_000
+#: Queries, and vectors, of a block.
+QUERIES, VECTORS = 4096, 16_384
 
 
 def quantised(vector: Column) -> Column:
@@ -20,42 +20,64 @@ def quantised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x.cast("double") * 127))))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, per_round: int = QUERIES) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, size: int, least: int, *by: str) -> tuple[DataFrame, int]:
+    """(by, block, ids, vectors) of `rows` (key, embedding), about `size` a block and `least` blocks where there are so many rows; their number."""
+    many = max(1, -(-(n := rows.count()) // size), min(least, n // 256))
+    block = F.pmod(F.xxhash64(key), F.lit(many)).cast("int").alias("block")
+    listed = rows.groupBy(*by, block).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), "embedding")).alias("a"))
+    return listed.select(*by, "block", F.transform("a", lambda x: x["id"]).alias("ids"), F.transform("a", lambda x: x["embedding"]).alias("vectors")), many
+
+
+def local_hits(queries: DataFrame, rows: DataFrame, k: int, *by: str) -> DataFrame:
+    """by, query_id, vec_id, score: from each block of rows (vec_id, embedding) the k of largest inner product with each query
+    (query_id, embedding), which hold all of the block that can be in a result.
+
+    Both sides are put into blocks of bounded size; each block of queries meets each block of rows in a task of its own, by a join on the two
+    blocks' numbers, and no side passes through the driver or is sent whole to a task."""
+    q, of_q = _blocks(queries, "query_id", QUERIES, 1)
+    v, of_v = _blocks(rows, "vec_id", VECTORS, 16, *by)
+    q = q.select(F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(of_v - 1))).alias("vb"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
+    v = v.select(*by, F.col("block").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(of_q - 1))).alias("qb"), F.col("ids").alias("vi"), F.col("vectors").alias("vv"))
+    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in by)
+    return v.join(q, ["qb", "vb"]).select(*by, "qi", "qv", "vi", "vv").mapInArrow(_meet(len(by), k), (kinds + ", " if by else "") + "query_id long, vec_id long, score double")
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, but_own: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of the k rows (vec_id, embedding) of largest inner product with each query
-    (query_id, embedding); ties go to the smaller id.
+    (query_id, embedding); ties go to the smaller id. With but_own, the row of the query's own id isn't a hit."""
+    found = local_hits(queries, rows, k + but_own)
+    return merged(found.where("query_id <> vec_id") if but_own else found, k)
 
-    A round of queries, bounded by per_round, goes to every task; each batch of rows gives its own top k, which holds all of the
-    batch that can be in the result; these few meet in a window. Rows are never shuffled.
-    """
-    many = queries.count()
-    rounds = max(1, -(-many // per_round))
-    marked = queries if rounds == 1 else queries.withColumn("_r", F.pmod(F.xxhash64("query_id"), F.lit(2 * rounds)))
-    found = None
-    for r in range(1 if rounds == 1 else 2 * rounds):
-        part = (marked if rounds == 1 else marked.where(F.col("_r") == r)).select("query_id", "embedding").toArrow()
-        if not part.num_rows:
-            continue
-        ids = part["query_id"].to_numpy()
-        q = np.array(part["embedding"].to_pylist(), np.float64)
-        got = rows.select("vec_id", "embedding").mapInArrow(_search(ids, q, k), "query_id long, vec_id long, score double")
-        found = got if found is None else found.unionAll(got)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+
+def shard_hits(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query_id, shard, vec_id, score: the k best rows (shard, vec_id, embedding) of each shard, to be kept and merged."""
+    rank = F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "vec_id"))
+    return local_hits(queries, rows.select("shard", "vec_id", "embedding"), k, "shard").withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+
+
+def merged(hits: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best of `hits` from any number of places."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(ids: np.ndarray, q: np.ndarray, k: int):
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _meet(by: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            vec = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(b), -1)
-            for a in range(0, len(q), 512):
-                score = q[a : a + 512] @ x.T
-                order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-                yield pa.record_batch([np.repeat(ids[a : a + 512], order.shape[1]), vec[order].ravel(), np.take_along_axis(score, order, 1).ravel()], ["query_id", "vec_id", "score"])
+            for i in range(len(b)):
+                qi, qv, vi, vv = (b.column(by + j)[i].values for j in range(4))
+                ids, vec, x, q = qi.to_numpy(), vi.to_numpy(), _vectors(vv), _vectors(qv)
+                for a in range(0, len(q), 256):
+                    score = q[a : a + 256] @ x.T
+                    order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
+                    n = order.size
+                    key = [pa.array([b.column(j)[i].as_py()] * n, b.column(j).type) for j in range(by)]
+                    values = [pa.array(np.repeat(ids[a : a + 256], order.shape[1])), pa.array(vec[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())]
+                    yield pa.record_batch(key + values, [*b.schema.names[:by], "query_id", "vec_id", "score"])
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,16 +11,20 @@ from pyspark.sql import functions as F
 
 def interpolated(points: DataFrame, grid: DataFrame, beyond: float = 1.02) -> DataFrame:
     """run, x, y of every run's (run, x, y) at the grid's x, by straight lines between its points. Only from the
-    run's first x to `beyond` times its last, past which the last y holds."""
+    run's first x to `beyond` times its last, past which the last y holds. Runs have a point an x.
+
+    Points and grid are put in one order for each run, and each place of the grid looks back and ahead for its neighbours, so no side
+    is searched for each row of the other."""
+    none = F.lit(None).cast("double")
+    asked = points.select("run").distinct().join(grid.select(F.col("x").cast("double").alias("x")).distinct()).select("run", "x", none.alias("px"), none.alias("py"))
+    known = points.select("run", F.col("x").cast("double").alias("x"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     own = Window.partitionBy("run").orderBy("x")
-    lines = points.withColumn("x1", F.lead("x").over(own)).withColumn("y1", F.lead("y").over(own))
-    first = F.row_number().over(own) == 1
-    spans = lines.withColumn("low", F.when(first, F.col("x") - 0.0).otherwise(F.col("x"))).withColumn("high", F.coalesce("x1", F.col("x") * beyond))
-    g = grid.select(F.col("x").alias("gx"))
-    # The grid is the evaluation points of one run: a short list.
-    met = spans.join(F.broadcast(g), (F.col("gx") >= F.col("low")) & ((F.col("gx") < F.col("high")) | (F.col("x1").isNull() & (F.col("gx") <= F.col("high")))))
-    y = F.when(F.col("x1").isNull(), F.col("y")).otherwise(F.col("y") + (F.col("y1") - F.col("y")) * (F.col("gx") - F.col("x")) / (F.col("x1") - F.col("x")))
-    return met.select("run", F.col("gx").alias("x"), y.alias("y"))
+    point = F.when(F.col("px").isNotNull(), F.struct("px", "py"))
+    back = F.last(point, True).over(own.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(point, True).over(own.rangeBetween(0, Window.unboundedFollowing))
+    met = known.unionAll(asked).select("run", "x", "px", back.alias("a"), ahead.alias("b")).where("px IS NULL AND a IS NOT NULL")
+    y = F.when(F.col("b").isNull() | (F.col("a.px") == F.col("b.px")), F.col("a.py")).otherwise(F.col("a.py") + (F.col("b.py") - F.col("a.py")) * (F.col("x") - F.col("a.px")) / (F.col("b.px") - F.col("a.px")))
+    return met.where(F.col("b").isNotNull() | (F.col("x") <= F.col("a.px") * beyond)).select("run", "x", y.alias("y"))
 
 
 def summary(points: DataFrame) -> DataFrame:
@@ -64,17 +70,24 @@ def ridge(rows: DataFrame, features: list[str], target: str, alpha: float) -> np
 
 
 def debiased_ema(points: DataFrame, beta: float) -> DataFrame:
-    """run, step, ema: the moving average with weight beta on what was, over 1 - beta ** (steps so far). A run's steps,
-    which are few beside a corpus, are folded in order."""
-    listed = points.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("a"))
-    n = F.size("a")
-    fold = F.aggregate(
-        F.col("a"),
-        F.struct(F.lit(0.0).alias("m"), F.array().cast("array<struct<step:bigint,ema:double>>").alias("out")),
-        lambda s, x: F.struct((s["m"] * beta + x["value"] * (1 - beta)).alias("m"), F.concat(s["out"], F.array(F.struct(x["step"].cast("long").alias("step"), ((s["m"] * beta + x["value"] * (1 - beta)) / (1 - F.pow(F.lit(beta), F.size(s["out"]) + 1))).alias("ema")))).alias("out")),
-        lambda s: s["out"],
-    )
-    return listed.where(n > 0).select("run", F.explode(fold).alias("x")).select("run", "x.step", "x.ema")
+    """run, step, ema: the moving average with weight beta on what was, over 1 - beta ** (steps so far).
+
+    A run is cut into blocks so long that powers of beta stay in range. Within a block the average is a running sum of weighted values;
+    what the blocks before it leave is the sum of their last averages, as many of them as still count in double precision."""
+    decay = -math.log(beta)
+    size = max(1, min(4096, int(230 / decay)))
+    depth = max(1, math.ceil(41 / (size * decay)))
+    n = F.row_number().over(Window.partitionBy("run").orderBy("step"))
+    rows = points.select("run", "step", "value", n.alias("n")).withColumn("block", F.expr(f"(n - 1) div {size}")).withColumn("i", (F.col("n") - 1) % size)
+    power = lambda e: F.pow(F.lit(beta), e)
+    inner = F.sum(F.col("value") * (1 - beta) * power(-F.col("i"))).over(Window.partitionBy("run", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("own", inner * power(F.col("i")))
+    ends = rows.where(F.col("i") == size - 1).select("run", "block", "own")
+    order = Window.partitionBy("run").orderBy("block")
+    left = ends.select("run", (F.col("block") + 1).alias("block"), sum((F.coalesce(F.lag("own", k).over(order), F.lit(0.0)) * (beta ** (size * k)) for k in range(1, depth)), F.col("own")).alias("before"))
+    met = rows.join(left, ["run", "block"], "left")
+    whole = F.col("own") + F.coalesce("before", F.lit(0.0)) * power(F.col("i") + 1)
+    return met.select("run", F.col("step").cast("long").alias("step"), (whole / (1 - power(F.col("n")))).alias("ema"))
 
 
 def learning_rate(step: Column, steps: int, warm: float, down: float, final: float) -> Column:
@@ -108,3 +121,79 @@ def windows(depth: Column, pattern: str, length: int) -> Column:
     repeats, and the last layer is long."""
     short = -(-length // 4 // 128) * 128
     return F.transform(F.sequence(F.lit(0), depth.cast("int") - 1), lambda i: F.when((F.substring(F.lit(pattern), i % len(pattern) + 1, F.lit(1)) == "S") & (i < depth - 1), short).otherwise(length))
+
+
+def valid(rows: DataFrame, loss: str = "val_bpb") -> DataFrame:
+    """Runs that ended: their loss is there and above 0."""
+    return rows.where(F.col(loss).isNotNull() & ~F.isnan(F.col(loss).cast("double")) & (F.col(loss) > 0))
+
+
+def effective(rows: DataFrame) -> DataFrame:
+    """`rows` (transformer, lm_head, tokens) with params, those that multiply tokens, and ratio, tokens a parameter."""
+    params = F.col("transformer") + F.col("lm_head")
+    return rows.withColumn("params", params).withColumn("ratio", F.col("tokens") / F.nullif(params, F.lit(0)))
+
+
+def first_by(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Of each group, each column's first value that isn't null, in an order: one row a group."""
+    rest = [c for c in rows.columns if c != by]
+    least = [F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))) for c in rest]
+    return rows.groupBy(by).agg(*(m["v"].alias(c) for m, c in zip(least, rest, strict=True)))
+
+
+def least_row(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """The row of each group with the least value, the first in an order of several; nulls and NaN don't count."""
+    own = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    rest = [c for c in rows.columns if c != by]
+    return own.groupBy(by).agg(F.min_by(F.struct(*rest), F.struct(value, order)).alias("_r")).select(by, "_r.*")
+
+
+def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """mean and deviation (of a sample: null for one row) of a column."""
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.count(value).alias("n"))
+
+
+def mean_of_means(rows: DataFrame, value: str, group: str, *by: str) -> DataFrame:
+    """mean over groups of the groups' own means, each group the same weight."""
+    own = rows.groupBy(*by, group).agg(F.avg(value).alias("_m"))
+    return own.groupBy(*by).agg(F.avg("_m").alias("mean"), F.count("*").alias("groups"))
+
+
+def totals_by(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, total of each group, and a row `total` of all."""
+    return rows.rollup(by).agg(F.sum(value).alias("total"), F.grouping(by).alias("_g")).select(F.when(F.col("_g") == 1, "total").otherwise(F.col(by)).alias(by), "total")
+
+
+def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, median: the element n div 2, from 0, of the values in order: of an even number the upper of the two in the middle."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1
+    many = F.count("*").over(Window.partitionBy(by))
+    at = rows.withColumn("_i", place).withColumn("n", many).where(F.col("_i") == F.expr("n div 2"))
+    return at.select(by, "n", F.col(value).alias("median"))
+
+
+def utilisation(step: Column, rows: Column, weights: Column, kv_read: Column, flops: Column, peak_bytes: Column, peak_flops: Column) -> tuple[Column, Column]:
+    """Percent of the peak memory rate and of the peak rate of operations that a decoding step of that many seconds uses."""
+    return 100 * (weights + rows * kv_read) / step / peak_bytes, 100 * (rows * flops) / step / peak_flops
+
+
+def ceilings(memory: Column, weights: Column, kv_token: Column, length: Column, kv_read: Column, peak_bytes: Column) -> tuple[Column, Column]:
+    """Tokens a second that one row can reach if all weights and its cache are read a step; rows whose caches fit beside the weights."""
+    return peak_bytes / (weights + kv_read), F.floor((memory - weights) / (kv_token * length)).cast("long")
+
+
+def ridge_grid(rows: DataFrame, features: list[str], target: str, alphas: list[float]) -> DataFrame:
+    """alpha, r2 and the weights (intercept last) of ridge regressions over a grid. Sums of products, aggregated once, give all of them."""
+    names = [*features, "1", target]
+    value = lambda n: F.lit(1.0) if n == "1" else F.col(n).cast("double")
+    got = rows.agg(*(F.sum(value(a) * value(b)).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j)).first()
+    full = np.array([[got[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))], float)
+    n = len(names) - 1
+    gram, cross, square = full[:n, :n], full[:n, n], full[n, n]
+    out = []
+    for alpha in alphas:
+        w = np.linalg.lstsq(gram + alpha * np.diag([1.0] * (n - 1) + [0.0]), cross, rcond=None)[0]
+        rest = square - 2 * w @ cross + w @ gram @ w
+        around = square - full[n - 1, n] ** 2 / max(1.0, full[n - 1, n - 1])
+        out.append((float(alpha), float(1 - rest / around) if around > 0 else None, w.tolist()))
+    return rows.sparkSession.createDataFrame(out, "alpha double, r2 double, weights array<double>")

@@ -27,12 +27,12 @@ def first_user_query(spark, sf_dir):
     return C.first_user(table(spark, sf_dir, "conversations")).select("conv_id", F.md5("query").alias("query_md5"))
 
 
-@query("""WITH t AS (SELECT 'smol' AS task, 1 AS copy, conv_id AS idx FROM conversations GROUP BY conv_id UNION ALL SELECT 'facts', c, item_id FROM benchmark, range(1, 4) r(c) UNION ALL SELECT 'sums', c, doc_id FROM documents, range(1, 3) r(c) WHERE doc_id % 5 = 0)
+@query("""WITH t AS (SELECT 'smol' AS task, 1 AS copy, conv_id AS idx FROM conversations GROUP BY conv_id UNION ALL SELECT 'facts', c, item_id FROM benchmark, range(1, 4) r(c) UNION ALL SELECT 'sums', c, doc_id FROM documents, range(1, 3) r(c))
 SELECT task, copy, idx, md5(concat_ws('/', '42', task, copy::VARCHAR, idx::VARCHAR)) AS place FROM t""")
 def mixture_union_oversample(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("idx")).distinct()
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("idx"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"))
     return C.mixture([("smol", conv, 1), ("facts", items, 3), ("sums", docs, 2)], 42)
 
 
@@ -66,8 +66,8 @@ def fenced_code_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.fenced_code(F.expr(_CODE)).alias("code"))
 
 
-@query("SELECT item_id, left(text, 40) || chr(10) || '- ' || left(text, 5) || '=A' || chr(10) || '- ' || right(text, 5) || '=B' || chr(10) || '- none=C' AS prompt FROM benchmark")
+@query("SELECT item_id, text || chr(10) || '- ' || lower(text) || '=A' || chr(10) || '- ' || reverse(text) || '=B' || chr(10) || '- none=C' AS prompt FROM benchmark")
 def choice_rendering(spark, sf_dir):
     text = F.col("text")
-    letters, choices = F.array(*map(F.lit, "ABC")), F.array(F.left(text, F.lit(5)), F.right(text, F.lit(5)), F.lit("none"))
-    return table(spark, sf_dir, "benchmark").select("item_id", C.render_choices(F.left(text, F.lit(40)), letters, choices).alias("prompt"))
+    letters, choices = F.array(*map(F.lit, "ABC")), F.array(F.lower(text), F.reverse(text), F.lit("none"))
+    return table(spark, sf_dir, "benchmark").select("item_id", C.render_choices(text, letters, choices).alias("prompt"))

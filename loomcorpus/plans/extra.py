@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 from ..operators import articles as A
 from ..operators import cost, evals
 from ..operators.runs import windows as layer_windows
+from ..sinks import fixed_width
 from ..sources import tables as T
 from .registry import query
 
-_SHOT = "(SELECT left(b.text, 20) || ' so ' || right(b.text, 5) || chr(10) || chr(10) FROM benchmark b WHERE b.item_id = (a.item_id + 1) % (SELECT count(*) FROM benchmark))"
+_SHOT = "(SELECT b.text || ' so ' || lower(b.text) || chr(10) || chr(10) FROM benchmark b WHERE b.item_id = (a.item_id + 1) % (SELECT count(*) FROM benchmark))"
 
 
-@query(f"SELECT item_id, o AS option, {_SHOT} || left(text, 20) || ' so ' || CASE o WHEN 0 THEN right(text, 5) ELSE 'none' END AS prompt FROM benchmark a, range(0, 2) r(o)")
+@query(f"SELECT item_id, o AS option, {_SHOT} || text || ' so ' || CASE o WHEN 0 THEN lower(text) ELSE 'none' END AS prompt FROM benchmark a, range(0, 2) r(o)")
 def choice_prompts(spark, sf_dir):
     items = T.table(spark, sf_dir, "benchmark")
     n = items.count()
-    other = items.select(F.pmod(F.col("item_id") - 1, F.lit(n)).alias("item_id"), F.concat(F.left("text", F.lit(20)), F.lit(" so "), F.right("text", F.lit(5))).alias("shot"))
-    made = evals.prompts(F.left("text", F.lit(20)), F.array(F.right("text", F.lit(5)), F.lit("none")), " so ", F.array("shot"))
+    other = items.select(F.pmod(F.col("item_id") - 1, F.lit(n)).alias("item_id"), F.concat("text", F.lit(" so "), F.lower("text")).alias("shot"))
+    made = evals.prompts(F.col("text"), F.array(F.lower("text"), F.lit("none")), " so ", F.array("shot"))
     return items.join(other, "item_id").select("item_id", F.posexplode(made).alias("option", "prompt")).withColumn("option", F.col("option").cast("long"))
 
 
-@query("SELECT item_id, t || ' ' || right(text, 4) AS with_end, t AS without_end FROM (SELECT *, regexp_replace(left(text, 9), '^\\s+|\\s+$', '', 'g') AS t FROM benchmark)")
+@query("SELECT item_id, t || ' ' || lower(text) AS with_end, t AS without_end FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM benchmark)")
 def open_prompts(spark, sf_dir):
-    made = evals.open_prompts(F.left("text", F.lit(9)), F.right("text", F.lit(4)), " ")
+    made = evals.open_prompts(F.col("text"), F.lower("text"), " ")
     return T.table(spark, sf_dir, "benchmark").select("item_id", made[1].alias("with_end"), made[0].alias("without_end"))
 
 
@@ -93,7 +94,7 @@ def scores_csv(spark, sf_dir):
 def fixed_width_scores(spark, sf_dir):
     i = F.col("item_id")
     rows = T.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("task"), i).alias("task"), (i / 8).alias("accuracy"), (i / 64).alias("centred"))
-    return rows.select("item_id", F.format_string("%-35s, %-10.6f, %-10.6f", "task", "accuracy", "centred").alias("value"))
+    return fixed_width(rows).select("item_id", "value")
 
 
 def _articles(spark, sf_dir):
@@ -118,12 +119,16 @@ def sentinel_segments(spark, sf_dir):
 
 @query()
 def retrieval_refs(spark, sf_dir):
-    from ..operators.retrieval import distinct_top_k, top_k
+    """Eight references of different texts an item: of each text one document, that of its smallest id, is searched, so copies can't fill
+    the list."""
+    from ..operators.corpus import content_ids
+    from ..operators.retrieval import top_k
 
     items = A.embedded(T.table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "text")
-    docs = A.embedded(T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "text")
-    hits = top_k(items, docs, 16)
-    return A.refs(distinct_top_k(hits.withColumn("content_id", F.col("vec_id")), 8))
+    docs = T.table(spark, sf_dir, "documents")
+    first = content_ids(docs, "doc_id", "text").where("doc_id = content_id").select("doc_id")
+    once = A.embedded(docs.select("doc_id", "text").join(first, "doc_id").select(F.col("doc_id").alias("vec_id"), "text"), "text")
+    return A.refs(top_k(items, once, 8))
 
 
 @query()
@@ -137,7 +142,7 @@ def seeded_orders(spark, sf_dir):
     return evals.permutation(spark, n, 42).join(evals.shuffled(spark, n, 42).withColumnRenamed("physical", "shuffled"), "place")
 
 
-@query("SELECT q.vec_id AS physical, (q.vec_id % 4 = 0) AS done FROM embeddings q WHERE vec_id % 10 = 0 AND NOT vec_id % 4 = 0")
+@query("SELECT q.vec_id AS physical, (q.vec_id % 4 = 0) AS done FROM embeddings q WHERE NOT vec_id % 4 = 0")
 def already_done_skip(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("physical"))
+    rows = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("physical"))
     return A.without_done(rows, rows.where("physical % 4 = 0"), ["physical"]).withColumn("done", F.col("physical") % 4 == 0)

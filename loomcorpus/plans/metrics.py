@@ -61,13 +61,13 @@ def span_mean_argmin(spark, sf_dir):
     return M.best_option(rows.withColumn("loss", M.span_mean(F.col("l"), F.col("s"), F.col("e"))), "loss").select("item", "option", F.round("loss", 6).alias("loss"))
 
 
-@query("""WITH w AS (SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), l AS (SELECT doc_id, string_split(lower(x), '') AS x, string_split(lower(y), '') AS y FROM w)
-SELECT doc_id, (SELECT count(*) FROM range(1, least(len(x), len(y)) + 1) r(i) WHERE x[1:i] = y[1:i]) AS prefix FROM (SELECT doc_id, x[1:12] AS x, y[1:12] AS y FROM l)""")
+@query("""WITH w AS (SELECT a.doc_id, string_split(lower(a.text), '') AS x, string_split(lower(b.text), '') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), n AS (SELECT *, least(len(x), len(y)) AS n FROM w)
+SELECT doc_id, coalesce(list_position(list_transform(x[1:n], lambda c, i : c = y[i]), false) - 1, n)::BIGINT AS prefix, coalesce(list_position(list_transform(list_reverse(x)[1:n], lambda c, i : c = y[len(y) + 1 - i]), false) - 1, n)::BIGINT AS suffix FROM n""")
 def common_prefix_len(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chars = docs.select("doc_id", F.slice(F.split(F.lower("text"), ""), 1, 12).alias("x"))
+    chars = docs.select("doc_id", F.split(F.lower("text"), "").alias("x"))
     after = chars.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
-    return chars.join(after, "doc_id").select("doc_id", M.common_prefix(F.col("x"), F.col("y")).alias("prefix"))
+    return chars.join(after, "doc_id").select("doc_id", M.common_prefix(F.col("x"), F.col("y")).alias("prefix"), M.common_suffix(F.col("x"), F.col("y")).alias("suffix"))
 
 
 @query("SELECT vec_id, len(a[greatest(len(a) - 20, 0) + 1:]) AS n, round(list_sum(list_transform(a[greatest(len(a) - 20, 0) + 1:], lambda x : x::DOUBLE)), 6) AS total FROM (SELECT vec_id, embedding[1:vec_id % 64 + 1] AS a FROM embeddings)")

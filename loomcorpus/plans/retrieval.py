@@ -8,16 +8,16 @@ from ..operators import retrieval as R
 from ..sources.tables import table
 from .registry import query
 
-#: Queries are the vectors whose id 10 divides; texts are the same where ids agree but for their last remainder by 3.
-_HITS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 <> 0),
-s AS (SELECT query_id, vec_id, list_dot_product(q.e, v.e) AS score FROM q, v),
+#: Queries are the vectors whose id 20 divides, against all others; texts are the same where ids agree but for their last remainder by 3.
+_HITS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT query_id, vec_id, list_dot_product(q.e, v.e) AS score FROM q, v WHERE query_id <> vec_id),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 16)"""
 
 
 def _hits(spark, sf_dir, k=16):
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.top_k(queries, rows.where("vec_id % 10 <> 0"), k)
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.top_k(queries, rows, k, but_own=True)
 
 
 def _distinct(spark, sf_dir, k=4):
@@ -37,19 +37,19 @@ def knn_distinct_topk(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x : greatest(-127.0, least(127.0, round_even(x::DOUBLE * 127, 0))))::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score FROM e q, e v WHERE q.vec_id % 10 = 0 AND v.vec_id % 10 <> 0)
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score FROM e q, e v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, round(score / 16129, 6) AS score FROM s QUALIFY rank <= 4""")
 def int8_quantised_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", R.quantised(F.col("embedding")).alias("embedding"))
-    queries = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.top_k(queries, rows.where("vec_id % 10 <> 0"), 4).withColumn("score", F.round(F.col("score") / 16129, 6))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.top_k(queries, rows, 4, but_own=True).withColumn("score", F.round(F.col("score") / 16129, 6))
 
 
-_BEST = f"WITH {_HITS}, w AS (SELECT query_id // 80 AS row_id, (query_id // 10) % 8 AS win, vec_id - vec_id % 30 AS content_id, score FROM h WHERE rank = 1)"
+_BEST = f"WITH {_HITS}, w AS (SELECT query_id // 160 AS row_id, (query_id // 20) % 8 AS win, vec_id - vec_id % 30 AS content_id, score FROM h WHERE rank = 1)"
 
 
 def _windows(spark, sf_dir, k):
-    return _hits(spark, sf_dir, k).select(F.expr("query_id div 80").alias("row_id"), F.expr("(query_id div 10) % 8").alias("win"), "rank", "vec_id", F.expr("vec_id - vec_id % 30").alias("content_id"), "score")
+    return _hits(spark, sf_dir, k).select(F.expr("query_id div 160").alias("row_id"), F.expr("(query_id div 20) % 8").alias("win"), "rank", "vec_id", F.expr("vec_id - vec_id % 30").alias("content_id"), "score")
 
 
 @query(f"{_BEST} SELECT a.row_id, a.win AS win_a, b.win AS win_b, a.content_id FROM w a JOIN w b ON a.row_id = b.row_id AND a.content_id = b.content_id AND a.win < b.win")
@@ -89,6 +89,6 @@ def top_referenced(spark, sf_dir):
     return _hits(spark, sf_dir).groupBy(F.expr("vec_id div 5").alias("article")).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "article").limit(10)
 
 
-@query(f"WITH {_HITS} SELECT query_id // 80 AS row_id, round(max(score), 6) AS best FROM h GROUP BY 1 HAVING max(score) >= 0.35")
+@query(f"WITH {_HITS} SELECT query_id // 160 AS row_id, round(max(score), 6) AS best FROM h GROUP BY 1 HAVING max(score) >= 0.35")
 def min_score_rows(spark, sf_dir):
-    return _hits(spark, sf_dir, 1).groupBy(F.expr("query_id div 80").alias("row_id")).agg(F.max("score").alias("best")).where("best >= 0.35").withColumn("best", F.round("best", 6))
+    return _hits(spark, sf_dir, 1).groupBy(F.expr("query_id div 160").alias("row_id")).agg(F.max("score").alias("best")).where("best >= 0.35").withColumn("best", F.round("best", 6))

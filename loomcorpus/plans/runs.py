@@ -17,10 +17,10 @@ def metrics_last_per_step(spark, sf_dir):
 
 
 def _points(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 12).alias("run"), F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("y")).where("k <= 60").select("run", (F.col("k") * (F.col("run") + 10) / 10.0).alias("x"), "y")
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 12).alias("run"), F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("y")).select("run", (F.col("k") * (F.col("run") + 10) / 10.0).alias("x"), "y")
 
 
-_POINTS = "p AS (SELECT l_suppkey % 12 AS run, l_partkey * (l_suppkey % 12 + 10) / 10.0 AS x, avg(l_quantity) AS y FROM lineitem WHERE l_partkey <= 60 GROUP BY l_suppkey % 12, l_partkey)"
+_POINTS = "p AS (SELECT l_suppkey % 12 AS run, l_partkey * (l_suppkey % 12 + 10) / 10.0 AS x, avg(l_quantity) AS y FROM lineitem GROUP BY l_suppkey % 12, l_partkey)"
 
 
 @query(f"""WITH {_POINTS}, g AS (SELECT x AS gx FROM p WHERE run = 1), l AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY run ORDER BY x))
@@ -65,10 +65,10 @@ def fit_ols_r2(spark, sf_dir):
     return R.ols(points, "flag").select("flag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
-@query("""WITH v AS (SELECT user_id % 9 AS run, event_id AS step, value, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id) AS n FROM events WHERE event_id < 900 AND value IS NOT NULL)
+@query("""WITH v AS (SELECT user_id % 9 AS run, event_id AS step, value, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL)
 SELECT a.run, a.step, round(sum(b.value * 0.1 * power(0.9, a.n - b.n)) / (1 - power(0.9, a.n)), 6) AS ema FROM v a JOIN v b ON a.run = b.run AND b.n <= a.n GROUP BY a.run, a.step, a.n""")
 def ema_debiased(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 900 AND value IS NOT NULL").select((F.col("user_id") % 9).alias("run"), F.col("event_id").alias("step"), "value")
+    rows = table(spark, sf_dir, "events").where("value IS NOT NULL").select((F.col("user_id") % 9).alias("run"), F.col("event_id").alias("step"), "value")
     return R.debiased_ema(rows, 0.9).withColumn("ema", F.round("ema", 6))
 
 
