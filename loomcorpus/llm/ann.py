@@ -4,12 +4,14 @@ The tree is fitted on a bounded sample; every vector is then put into its leaf.
 child and keeps the others in a priority queue by distance; it takes the nearest open branch next, until
 it has visited as many leaves as calibration on the sample asks for, and until these hold enough candidates.
 
-The vectors of a leaf meet its queries in blocks of bounded size, so neither a full leaf nor a popular one
-lands in one task. Equal vectors are at one distance, ties go to the smaller id, so only the k + 1
+The vectors of a leaf meet its queries in blocks of bounded size, on either side as many as their counts ask for, so neither a
+full leaf nor a popular one lands in one task. Equal vectors are at one distance, ties go to the smaller id, so only the k + 1
 smallest ids of each can be results: the others are left out before anything is joined, which loses nothing.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
-Rows of one vec_id are one row, with the smallest vector. An empty table gives an empty result.
+Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null ids.
+Rows that repeat an id are rows of their own: each is a candidate, and a query's results leave out its own row alone; so an id can be
+in a result more than once, and a repeated query id has a result for each of its rows. Other columns aren't read. An empty table gives
+an empty result; of fewer candidates than k there are as many results.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Vectors the tree is fitted on at most; children of a node; sample vectors of a leaf; recall to calibrate to; queries to calibrate with.
-SAMPLE, BRANCH, LEAF, RECALL, PROBES = 20_000, 8, 48, 0.97, 200
+SAMPLE, BRANCH, LEAF, RECALL, PROBES = 20_000, 16, 32, 0.95, 300
 #: Vectors and queries of a block.
-VECTORS, QUERIES = 2000, 256
+VECTORS, QUERIES = 2000, 512
 
 
 class Tree:
@@ -109,10 +113,11 @@ def _kmeans(x: np.ndarray, k: int, rng, turns: int = 8) -> np.ndarray:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part, one a vec_id."""
+    """(vec_id, nth, embedding) of the vectors that take part; nth tells rows of one vec_id apart."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     ok = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(ok).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(ok).withColumn("nth", nth).select("vec_id", "nth", "embedding")
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -121,70 +126,83 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, query: Column, k: int = 10, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found to the rows where `query` holds."""
+    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found to the rows where `query` (of vec_id) holds."""
+    with common.Scratch(rows.sparkSession) as scratch:
+        return scratch.last(_nearest(rows, query, k, sample, recall, scratch))
+
+
+def _blocks(rows: DataFrame, key: str, size: int, counts: dict[int, int], out: str) -> DataFrame:
+    """leaf, a: `rows` (leaf, key, nth, embedding) as arrays of about `size` at most, given the leaves' counts."""
+    many = {leaf: -(-n // size) for leaf, n in counts.items() if n > size}
+    parts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("leaf")], F.lit(1)) if many else F.lit(1)
+    block = F.pmod(F.xxhash64(key, "nth"), parts).alias("_b")
+    return rows.groupBy("leaf", block).agg(F.collect_list(F.struct(key, "nth", "embedding")).alias(out)).select("leaf", out)
+
+
+def _nearest(rows: DataFrame, query: Column, k: int, sample: int, recall: float, scratch: common.Scratch) -> DataFrame:
     spark = rows.sparkSession
-    taken = usable(rows)
-    drawn = taken.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    result = "query_id long, rank int, vec_id long, score double"
+    taken = scratch.put(usable(rows), "vectors")
+    drawn = taken.orderBy(F.xxhash64("vec_id"), "vec_id", "nth").limit(sample).toPandas()
     if not len(drawn):
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = drawn["embedding"].map(len)
     width = int(sizes.mode().iloc[0])
     taken = taken.where(F.size("embedding") == width)
     x = np.array(drawn["embedding"][sizes == width].tolist(), np.float64)
     tree = Tree(x)
     tree.calibrate(x, k, recall)
+    kind = dict(taken.dtypes)["embedding"]
+    held = f"leaf long, {{}} long, nth int, embedding {kind}"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                yield pa.record_batch([pa.array(tree.leaf_of(_vectors(b.column(1)))), b.column(0), b.column(1)], ["leaf", "vec_id", "embedding"])
+                yield pa.record_batch([pa.array(tree.leaf_of(_vectors(b.column(2)))), *b.columns], ["leaf", "vec_id", "nth", "embedding"])
 
-    equal = Window.partitionBy("embedding").orderBy("vec_id")
-    first = taken.withColumn("nth", F.row_number().over(equal)).where(F.col("nth") <= k + 1).drop("nth")
-    kind = dict(taken.dtypes)["embedding"]
-    index = first.mapInArrow(place, f"leaf long, vec_id long, embedding {kind}")
+    equal = Window.partitionBy("embedding").orderBy("vec_id", "nth")
+    first = taken.withColumn("_of_equal", F.row_number().over(equal)).where(F.col("_of_equal") <= k + 1).drop("_of_equal")
+    index = scratch.put(common.arrow(first, place, held.format("vec_id")), "index")
     # As many rows as the tree has leaves, which the sample bounds.
-    counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    visits, least = tree.visits, k + 1
+    sizes_of = lambda rows: {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    counts, visits, least = sizes_of(index), tree.visits, k + 1
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                leaves = [tree.search(q, counts, visits, least) for q in _vectors(b.column(1))]
-                at = np.repeat(np.arange(len(b)), [len(v) for v in leaves])
-                yield pa.record_batch([pa.array([x for v in leaves for x in v], pa.int64()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["leaf", "query_id", "q"])
+                leaves = [tree.search(q, counts, visits, least) for q in _vectors(b.column(2))]
+                at = pa.array(np.repeat(np.arange(len(b)), [len(v) for v in leaves]))
+                yield pa.record_batch([pa.array([x for v in leaves for x in v], pa.int64()), *(c.take(at) for c in b.columns)], ["leaf", "query_id", "nth", "embedding"])
+
+    asked = scratch.put(common.arrow(taken.where(query).withColumnRenamed("vec_id", "query_id"), visit, held.format("query_id")), "asked")
+    vectors, queries = _blocks(index, "vec_id", VECTORS, counts, "vs"), _blocks(asked, "query_id", QUERIES, sizes_of(asked), "qs")
+    found = common.arrow(vectors.join(queries, "leaf").select("vs", "qs"), _meet(k), "query_id long, nth int, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "nth").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
-    asked = taken.where(query).mapInArrow(visit, f"leaf long, query_id long, q {kind}")
-    salt = F.create_map(*(F.lit(v) for leaf, n in counts.items() if n > VECTORS for v in (leaf, -(-n // VECTORS)))) if any(n > VECTORS for n in counts.values()) else None
-    salts = F.lit(1) if salt is None else F.coalesce(salt[F.col("leaf")], F.lit(1))
-    vectors = index.groupBy("leaf", F.pmod(F.xxhash64("vec_id"), salts).alias("_v")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("vs"))
-    queries = asked.groupBy("leaf", F.pmod(F.xxhash64("query_id"), F.lit(QUERY_SALTS)).alias("_q")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+def _meet(k: int):
+    """Of each block of vectors, the k nearest to each query of a block of queries."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
                 vs, qs = b.column(0)[i].values, b.column(1)[i].values
-                ids, own = vs.field("vec_id").to_numpy(), qs.field("query_id").to_numpy()
-                v, q = _vectors(vs.field("embedding")), _vectors(qs.field("q"))
-                out_q, out_v, out_s = [], [], []
-                for a in range(0, len(q), QUERIES):
-                    about = (v**2).sum(1) - 2 * q[a : a + QUERIES] @ v.T
-                    for j, row in enumerate(about):
-                        row[ids == own[a + j]] = np.inf
-                        near = np.argpartition(row, min(len(row) - 1, k + 32))[: k + 32] if len(row) > k + 32 else np.arange(len(row))
-                        near = near[ids[near] != own[a + j]]
-                        exact = np.sqrt(((v[near] - q[a + j]) ** 2).sum(1))
-                        best = np.lexsort((ids[near], exact))[:k]
-                        out_q += [own[a + j]] * len(best)
-                        out_v += ids[near[best]].tolist()
-                        out_s += exact[best].tolist()
-                yield pa.record_batch([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = vectors.join(queries, "leaf").select("vs", "qs").mapInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-#: Parts that a leaf's queries are dealt over.
-QUERY_SALTS = 8
+                ids, nth = vs.field("vec_id").to_numpy(), vs.field("nth").to_numpy()
+                own, own_nth = qs.field("query_id").to_numpy(), qs.field("nth").to_numpy()
+                v, q = _vectors(vs.field("embedding")), _vectors(qs.field("embedding"))
+                at_q, at_v, scores = [], [], []
+                about = (v**2).sum(1) - 2 * q @ v.T
+                for j, row in enumerate(about):
+                    row[(ids == own[j]) & (nth == own_nth[j])] = np.inf
+                    near = np.flatnonzero(np.isfinite(row))
+                    if len(near) > k:  # all that can be nearer than the k-th, or as near
+                        last = np.partition(row, k - 1)[k - 1]
+                        near = np.flatnonzero(row <= last + 1e-9 * (1 + abs(last) + (q[j] ** 2).sum()))
+                    exact = np.sqrt(((v[near] - q[j]) ** 2).sum(1))
+                    best = np.lexsort((ids[near], exact))[:k]
+                    at_q += [j] * len(best)
+                    at_v += near[best].tolist()
+                    scores += exact[best].tolist()
+                yield pa.record_batch([pa.array(own[at_q], pa.int64()), pa.array(own_nth[at_q], pa.int32()), pa.array(ids[at_v], pa.int64()), pa.array(scores, pa.float64())], ["query_id", "nth", "vec_id", "score"])
+
+    return run
