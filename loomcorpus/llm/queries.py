@@ -59,8 +59,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    found = secrets.candidates(docs)
-    return secrets.scan(docs, secrets.fit(found.withColumn("label", secrets.weak_labels(found))))
+    with common.Scratch(spark) as scratch:
+        found = scratch.last(secrets.candidates(docs), "candidates")  # texts are cut up once
+    model = secrets.fit(found.withColumn("label", secrets.weak_labels(found)), secrets.dictionary(docs))
+    return secrets.judge(found, model)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 All of it is DataFrame operations and Spark's own machine learning; nothing leaves the JVM. A candidate is a
 run of MIN_LENGTH characters or more within a word, at least one of them a digit; a word may hold several. The forest sees its
 length, its characters' classes and the transitions between them, how many different characters it has,
-how much of it dictionary words cover, whether it looks like a path, and the words next to it.
+how much of it words cover that are frequent in the corpus, whether it looks like a path, and the words next to it.
 
-It is trained on labelled findings (see `findings`); where no labels are at hand, `weak_labels` makes some from
-the formats of well-known secrets, and a forest of the other features then finds secrets of like make.
+It is trained on labelled findings (see `fit`). Where no labels are at hand, `weak_labels` makes some from the
+characters of the candidate alone, formats that only keys or only numbers have; what stands next to it, by which the forest then
+tells others of their kind, is no part of them.
 
-Null and empty texts have no candidates. Repeated rows give repeated findings. Without findings of both kinds the scan
-keeps every candidate, with score 1 (or the one label there is).
+Null and empty texts have no candidates; long ones are cut into words as a whole. Repeated rows and ids, and null ids, each give their
+findings; an empty table gives none; only doc_id and text are read. Without findings of both kinds the scan
+keeps every candidate, with score 1 (or the one label there is). Ties of the sample's order are broken by all that is used of a finding.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_LENGTH = 16
+MIN_LENGTH = 8
 #: Findings that the forest may be trained on, of either label; trees; depth.
 SAMPLE, TREES, DEPTH = 4000, 30, 7
+#: Words of the dictionary: the most frequent of the corpus, of three letters to twelve.
+WORDS = 400
 _SPACE = r"[\x20\x09-\x0D]+"
 _CORE = rf"([A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}={{0,2}})"
 _LIKELY = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH}}}"
-#: Words that names of things are made of, and words that stand by secrets.
-DICTIONARY = ("password", "passwd", "token", "secret", "key", "api", "access", "auth", "user", "name", "mail", "example", "com", "www", "http", "https", "html", "index", "image", "file", "data", "test", "page", "the", "and", "for", "with", "version", "license")
+#: Words that stand by secrets.
 NEAR = r"(?i)(password|passwd|pwd|token|secret|credential|auth|api_?key|access_?key|bearer)"
 _ASSIGNED = r"(?i)(password|passwd|pwd|token|secret|api_?key|access_?key)['\"]?\s*[=:]"
 
@@ -65,13 +68,20 @@ def _without(text: Column, end: Column) -> Column:
     return F.left(text, F.length(text) - F.length(end))
 
 
-def features(found: DataFrame) -> DataFrame:
-    """`found` with a column f_... for each feature, all doubles."""
+def dictionary(docs: DataFrame, size: int = WORDS) -> list[str]:
+    """The `size` words that stand most often in all of the texts (a bounded list); ties go to the smaller word."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(3, 12))
+    return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def features(found: DataFrame, words: list[str]) -> DataFrame:
+    """`found` with a column f_... for each feature, all doubles. words: the dictionary."""
     core = F.col("core")
     size = F.length(core).cast("double")
     share = lambda pattern: (F.length(F.regexp_replace(core, pattern, "")).cast("double") * -1 + size) / size
     steps = lambda a, b: F.regexp_count(core, F.lit(f"(?<={a})(?={b})")).cast("double") / size
-    covered = size - F.length(F.regexp_replace(F.lower(core), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), ""))
+    known = "|".join(sorted(words, key=lambda w: (-len(w), w))) or "(?!)"
+    covered = size - F.length(F.regexp_replace(F.lower(core), known, ""))
     columns = {
         "length": size,
         "digits": share("[0-9]"),
@@ -96,46 +106,51 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> Column:
-    """1 for formats that only secrets have, 0 for those that only other things have, else null."""
-    core, whole = F.col("core"), F.concat("before", F.lit(" "), "word")
-    yes = core.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$") | (whole.rlike(_ASSIGNED) & core.rlike("[0-9a-f]{16}")) | core.rlike("^gh[pousr]_[A-Za-z0-9]{36}")
-    no = F.col("word").contains("@") | core.rlike("^[0-9_/+-]+$") | (F.col("word").rlike("^https?:|^www|^/") & ~whole.rlike(NEAR)) | core.rlike("^[A-Z]?[a-z]+[0-9]{0,4}$")
+    """1 for formats that only keys have (as well-known ones begin, or hexadecimal digits, as many as keys and digests have), 0 for those
+    that only other things have (numbers, words with a number behind), else null. Only the candidate's own characters tell."""
+    core = F.col("core")
+    yes = core.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^sk-[A-Za-z0-9]{20,}|^xox[abpr]-") | (core.rlike("^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$") & core.rlike("[A-Fa-f]"))
+    no = core.rlike("^[0-9_/+-]+$") | core.rlike("^[A-Z]?[a-z]+[0-9]{0,4}$")
     return F.when(yes, 1).when(no, 0)
 
 
 class SecretForest:
     """Scores candidates with a forest of Spark's own."""
 
-    def __init__(self, model, columns: list[str], share: float):
-        self.model, self.columns, self.share = model, columns, share
+    def __init__(self, model, columns: list[str], share: float, words: list[str]):
+        self.model, self.columns, self.share, self.words = model, columns, share, words
 
     def score(self, found: DataFrame) -> DataFrame:
         """`found` with score (the trees' share for "secret")."""
         if self.model is None:
             return found.withColumn("score", F.lit(self.share))
-        ready = VectorAssembler(inputCols=self.columns, outputCol="_features").transform(features(found))
+        ready = VectorAssembler(inputCols=self.columns, outputCol="_features").transform(features(found, self.words))
         return self.model.transform(ready).withColumn("score", vector_to_array("probability")[1]).select(*found.columns, "score")
 
 
-def fit(findings: DataFrame, sample: int = SAMPLE, seed: int = 17) -> SecretForest:
-    """`findings`: candidates with label 1 (secret) or 0. At most `sample` of either label, those with the
+def fit(findings: DataFrame, words: list[str], sample: int = SAMPLE, seed: int = 17) -> SecretForest:
+    """`findings`: candidates with label 1 (secret) or 0; words: the dictionary. At most `sample` of either label, those with the
     smallest hash, train the forest; they are put in order first, so it is the same on every run."""
     known = findings.where(F.col("label").isin(0, 1))
     part = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "word_no", "word"), "doc_id", "word_no", "word", "core", "before").limit(sample)
-    ready = features(part(0).unionAll(part(1)))
+    ready = features(part(0).unionAll(part(1)), words)
     columns = [c for c in ready.columns if c.startswith("f_")]
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(ready).select("_features", F.col("label").cast("double").alias("label")).coalesce(1).cache()
     counts = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         rows.unpersist()
-        return SecretForest(None, columns, float(next(iter(counts), 1)))
+        return SecretForest(None, columns, float(next(iter(counts), 1)), words)
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed)
     model = forest.fit(rows)
     rows.unpersist()
-    return SecretForest(model, columns, 1.0)
+    return SecretForest(model, columns, 1.0, words)
+
+
+def judge(found: DataFrame, model: SecretForest, least: float = 0.5) -> DataFrame:
+    """doc_id, word_no, run_no, finding, score, is_secret of every candidate."""
+    return model.score(found).select("doc_id", "word_no", "run_no", F.col("core").alias("finding"), F.round("score", 6).alias("score"), (F.col("score") >= least).alias("is_secret"))
 
 
 def scan(docs: DataFrame, model: SecretForest, least: float = 0.5) -> DataFrame:
-    """doc_id, word_no, run_no, finding, score, is_secret of every candidate of `docs` (doc_id, text)."""
-    scored = model.score(candidates(docs))
-    return scored.select("doc_id", "word_no", "run_no", F.col("core").alias("finding"), F.round("score", 6).alias("score"), (F.col("score") >= least).alias("is_secret"))
+    """What judge() says of every candidate of `docs` (doc_id, text)."""
+    return judge(candidates(docs), model, least)

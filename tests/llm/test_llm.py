@@ -33,16 +33,32 @@ def real(spark):
 # Tokens
 
 
-def test_counts_equal_the_library(real, monkeypatch):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_counts_equal_the_library(real, name):
+    path = public_tokenizers.path(name)
+    texts = [*ODD, "a\0b \0c \0", "</s> <s> a", "▁a ▁ b a▁b", " lead", "a  b   c", "<|endoftext|> <|endoftext|> a", *real]
+    if name.endswith("json"):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    else:
+        import sentencepiece
+
+        want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    assert token_counts.counter(path)(texts) == want
+
+
+def test_count_query_equals_the_library(spark):
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    library = Tokenizer.from_file(path)
-    monkeypatch.setattr(token_counts, "PIECE_BYTES", 64)
-    texts = ODD + real[:60]
-    pieces = [len(token_counts.pieces(t, 64)) for t in texts]
-    assert max(pieces) > 5
-    assert token_counts.counter(path)(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = queries.op8_token_counts(spark, SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n = len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 512)
 
 
 def test_codec_equals_the_library(real, monkeypatch):
@@ -259,7 +275,7 @@ def test_graph(spark):
 def test_ann_recall_and_measure(spark):
     r = np.random.default_rng(6)
     x = np.concatenate((r.normal(size=(1500, 16)), np.repeat(r.normal(size=(1, 16)), 300, 0))).astype(np.float32)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (None, [1.0] * 16), (5300, [1.0] * 3), (100, x[100].tolist())], "vec_id long, embedding array<float>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (None, [1.0] * 16), (5300, [1.0] * 3)], "vec_id long, embedding array<float>")
     got = ann.nearest(rows, F.col("vec_id") % 100 == 0, k=10).toPandas()
     assert set(got.query_id) == set(range(0, 1800, 100)) and (got.groupby("query_id").size() == 10).all()
     hit = 0
@@ -275,6 +291,33 @@ def test_ann_recall_and_measure(spark):
     assert hit / 180 >= 0.9
 
 
+def test_ann_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = queries.op2_ann(spark, "/root/testdata/sf0.01").toPandas()
+    all_ = rows.orderBy("vec_id").toPandas()
+    x, ids = np.array(all_.embedding.tolist(), np.float64), all_.vec_id.to_numpy()
+    hit = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 11)) and np.allclose(mine.score, [d[ids == v][0] for v in mine.vec_id])
+        hit, total = hit + len(set(want) & set(mine.vec_id)), total + 10
+    assert hit / total >= 0.9
+
+
+def test_ann_ties_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(128)]) for i in range(128)] + [(5, [0.5] * 128), (5, [0.5] * 128)], "vec_id long, embedding array<double>")
+    got = ann.nearest(rows, F.col("vec_id").isin(100, 5), sample=1000).toPandas()
+    tied = got[got.query_id == 100].sort_values("rank")
+    assert tied.vec_id.tolist() == list(range(10)) and np.allclose(tied.score, 2**0.5)
+    five = got[got.query_id == 5]
+    assert len(five) == 30 and sorted(five[five["rank"] == 1].score.round(6)) == [0.0, 0.0, round(2**0.5, 6)]
+    # The two equal rows are each other's nearest.
+    assert (five[(five["rank"] == 1) & (five.score == 0)].vec_id == 5).all()
+
+
 def test_ann_few_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(rows, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 2, 2.0)]
@@ -368,13 +411,27 @@ def test_attention_gradient_learns():
 def test_secrets(spark):
     r = random.Random(9)
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
-    texts = [f"some words then {x} and more" for _ in range(40) for x in (f"password={hexes(18)}", f'token = "{hexes(40)}"', "AKIA" + "".join(r.choice("ABCDEFGHIJ234567") for _ in range(16)), str(r.randint(10**15, 10**16)), f"some.name{r.randint(0, 99)}.longer@mail1.example.com")]
+    texts = [f"some words then {x} and more" for _ in range(40) for x in (f"password={hexes(18)}", f'token = "{hexes(40)}"', "token = AKIA" + "".join(r.choice("ABCDEFGHIJ234567") for _ in range(16)), str(r.randint(10**15, 10**16)), f"some.name{r.randint(0, 99)}.longer@mail1.example.com")]
     docs = docs_of(spark, [*texts, "", ..., "x" * 200_000])
     found = secrets.candidates(docs)
-    got = secrets.scan(docs, secrets.fit(found.withColumn("label", secrets.weak_labels(found)))).toPandas()
-    truth = got.doc_id.map(lambda i: i % 5 < 3)
-    assert (got.is_secret == truth).all() and set(got.doc_id) >= {i for i in range(200) if i % 5 < 4}
-    assert secrets.scan(docs, secrets.fit(found.where("doc_id < 0").withColumn("label", F.lit(1)))).where("NOT is_secret").count() == 0
+    words = secrets.dictionary(docs)
+    assert {"and", "more", "then"} <= set(words[:5])
+    # Trained on some findings with their labels, the forest tells the others.
+    label = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 5 < 3).cast("int"))
+    got = secrets.scan(docs, secrets.fit(found.withColumn("label", label), words)).toPandas()
+    held = got[got.doc_id % 2 == 1]
+    assert (held.is_secret == (held.doc_id % 5 < 3)).all() and set(got.doc_id) >= {i for i in range(200) if i % 5 < 4}
+    # Weak labels look at a candidate's own characters only.
+    weak = found.withColumn("label", secrets.weak_labels(found))
+    assert weak.where("label IS NOT NULL").select("label").distinct().count() == 2
+    moved = found.withColumn("before", F.lit("")).withColumn("word", F.col("core")).withColumn("after", F.lit(""))
+    assert weak.select("label").exceptAll(moved.select(secrets.weak_labels(moved).alias("label"))).count() == 0
+    assert secrets.scan(docs, secrets.fit(found.where("doc_id < 0").withColumn("label", F.lit(1)), words)).where("NOT is_secret").count() == 0
+
+
+def test_short_secrets_are_candidates(spark):
+    got = secrets.candidates(docs_of(spark, ["pwd: a1b2c3d4 end", "short a1b2"])).collect()
+    assert [(r["doc_id"], r["core"]) for r in got] == [(0, "a1b2c3d4")]
 
 
 def test_every_run_of_a_word_is_a_candidate(spark):
@@ -386,7 +443,7 @@ def test_every_run_of_a_word_is_a_candidate(spark):
     assert got[0, key]["before"] == "AWS_SECRET_ACCESS_KEY=" and got[1, aws]["before"] == '{"aws_access_key_id":' and got[1, aws]["word"] == f'"{aws}","'
     assert got[1, key]["before"].endswith('aws_secret_access_key":') and got[2, gh]["before"].endswith("?token=") and got[3, gh]["before"] == "token ="
     assert got[1, aws]["run_no"] == 1 and got[1, key]["run_no"] == 3 and got[3, gh]["run_no"] == 0
-    named = {(r["doc_id"], r["core"]): r["f_named"] for r in secrets.features(secrets.candidates(docs)).collect()}
+    named = {(r["doc_id"], r["core"]): r["f_named"] for r in secrets.features(secrets.candidates(docs), []).collect()}
     assert all(named.values())
 
 
@@ -443,12 +500,13 @@ def test_pipeline_stages(spark):
 
 
 def test_digests(spark):
-    got = {r["doc_id"]: r for r in queries.op6_bpe(spark, SMALL).limit(5).collect()}
+    got = {r["doc_id"]: r for r in queries.op6_bpe(spark, SMALL).collect()}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert set(got) == set(texts)
     for i, r in got.items():
         ids = library.encode(texts[i], add_special_tokens=False).ids
-        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r["n_tokens"] == len(ids)
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
