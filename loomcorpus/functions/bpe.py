@@ -108,10 +108,8 @@ def next_merges(listed: list[tuple[tuple[int, int], int]], whole: bool, name) ->
     touched = lambda p: any(p[1] == a or p[0] == b or (a == b and a in p) for a, b in out)
     for n, group in itertools.groupby(listed, key=lambda x: x[1]):
         pairs = sorted((p for p, _ in group), key=lambda p: (name(p[0]), name(p[1])))
-        if n <= least or any(map(touched, pairs)):
-            break
-        for p in pairs:
-            if touched(p):
+        for i, p in enumerate(pairs):
+            if n <= least or any(map(touched, pairs[i:])):
                 return out
             out.append(p)
     return out

@@ -82,13 +82,21 @@ def test_assignment(spark):
     assert {(x["row_id"], x["win"]): x["vec_id"] for x in got.collect()} == want
 
 
-def test_top_k_in_rounds(spark):
+def test_top_k_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(0)
     rows = spark.createDataFrame([(i, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(80)], "vec_id long, embedding array<double>")
     queries = rows.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(retrieval.top_k(queries, rows, 5)) == key(retrieval.top_k(queries, rows, 5, per_round=2))
-    assert retrieval.top_k(queries.where("query_id < 0"), rows, 5).count() == 0
+    whole = key(retrieval.top_k(queries, rows, 5))
+    monkeypatch.setattr(retrieval, "QUERIES", 2)
+    monkeypatch.setattr(retrieval, "VECTORS", 11)
+    assert whole == key(retrieval.top_k(queries, rows, 5))
+    x = np.array([r["embedding"] for r in rows.orderBy("vec_id").collect()])
+    for q in range(9):
+        score = x @ x[q]
+        order = np.lexsort((np.arange(80), -score))
+        assert [v for i, _, v, _ in whole if i == q] == order[:5].tolist()
+        assert [t["vec_id"] for t in retrieval.top_k(queries, rows, 4, but_own=True).where(F.col("query_id") == q).orderBy("rank").collect()] == [i for i in order.tolist() if i != q][:4]
 
 
 def test_bpe_round_trip(spark):
@@ -140,8 +148,11 @@ def test_sandbox():
     assert sandbox.execute("while True: pass", seconds=1)["timeout"]
     assert sandbox.execute("x = 'a' * (1 << 31)")["memory_exceeded"]
     assert sandbox.execute("1/0")["error"].startswith("ZeroDivisionError")
-    assert sandbox.tool_parts("a <<1+2=3>>3") == [("text", "a "), ("python", "1+2"), ("output", "3"), ("text", "3")]
-    assert sandbox.imports_of("# x\nimport a\n\nfrom b import c\nx = 1\nimport d") == "import a\nfrom b import c"
+    assert sandbox.calculate("7//2") == "3" and sandbox.calculate("'a,b'.count('ab')") == "1"
+    assert all(sandbox.calculate(x) is None for x in ("7%2", "0x10", "1e5", "'a'.count('a', 1)", "'a'.upper()", "[].count(1)", "9" * 10**6 + "*" + "9" * 10**6))
+    assert sandbox.execute("import os, shutil, subprocess\nassert not any((os.kill, os.remove, shutil.rmtree, subprocess.Popen))")["success"]
+    assert sandbox.execute("import psutil")["error"].startswith("ModuleNotFoundError") and sandbox.execute("exit(0)")["error"].startswith("TypeError")
+    assert sandbox.execute("raise SystemExit(3)")["error"] == "Execution failed" and sandbox.execute("x = [0] * (200 << 20)")["memory_exceeded"]
 
 
 def test_stream_of_rows(spark, tmp_path):
@@ -152,3 +163,56 @@ def test_stream_of_rows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("cut").count() == 75 // 10
+
+
+def test_sinks_and_stores(spark, tmp_path):
+    from loomcorpus import sinks
+
+    rows = spark.range(5).select(F.col("id").alias("run"), (F.col("id") * 2).alias("x"))
+    for _ in range(2):
+        sinks.results(rows, f"{tmp_path}/results", ["run"])
+    assert spark.read.option("header", True).csv(f"{tmp_path}/results").count() == 5
+    sinks.store(spark, f"{tmp_path}/store", {"k": 1}, part=rows)
+    config, part = sinks.open_store(spark, f"{tmp_path}/store")
+    assert config == {"k": 1} and part("part").count() == 5
+    rows.write.parquet(f"{tmp_path}/half/part")
+    with pytest.raises(ValueError):
+        sinks.open_store(spark, f"{tmp_path}/half")
+
+
+def test_legacy_folder_and_baselines(spark, tmp_path):
+    from loomcorpus.operators import evals
+    from loomcorpus.sources import tables
+
+    spark.range(6).repartition(3).write.parquet(f"{tmp_path}/old")
+    got = tables.files_in_order(spark, f"{tmp_path}/new", legacy=f"{tmp_path}/old")
+    assert got.count() == 6 and {r["shard"] for r in got.select("shard").collect()} == {0, 1, 2}
+    scored = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "task string, accuracy double")
+    known = spark.createDataFrame([("a", 25.0)], "task string, baseline double")
+    with pytest.raises(Exception, match="no baseline: b"):
+        metrics.with_baseline(scored, known).collect()
+    assert {r["task"]: r["baseline"] for r in metrics.with_baseline(scored, known, 0.0).collect()} == {"a": 25.0, "b": 0.0}
+    refs = spark.createDataFrame([(0, [4], [0.5])], "physical long, ids array<long>, scores array<double>")
+    assert [r["ids"] for r in evals.attach_refs(spark.range(2).withColumnRenamed("id", "physical"), refs).orderBy("physical").collect()] == [[4], None]
+
+
+def test_stream_restarts_where_it_stopped(spark, tmp_path):
+    def shard(k):
+        spark.range(10 * k, 10 * k + 10).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}.parquet")
+
+    schema = "doc_id long, text string"
+    where = {"checkpointLocation": f"{tmp_path}/check"}
+
+    def go():
+        rows = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        rows.writeStream.options(**where).format("parquet").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+
+    shard(0)
+    shard(1)
+    go()
+    shard(2)
+    go()
+    assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(30))
+    # Running totals don't depend on where the stream was cut.
+    whole = documents.totals(spark.read.parquet(f"{tmp_path}/out").withColumn("k", F.col("doc_id") % 2), "k").collect()
+    assert {(r["k"], r["docs"], r["chars"]) for r in whole} == {(0, 15, 30), (1, 15, 30)}
