@@ -2,21 +2,23 @@
 
 A rolling hash over the bytes cuts each text where the hash of the last eight bytes falls on a given
 value, so a passage that documents share is cut alike in all of them. What stands in a chunk between its
-first and last white space is encoded once and kept under its bytes. The rest of the chunk, the word that
-spans a join, is repaired: the tail of one chunk and the head of the next are put together and encoded
-again, and grow over as many chunks as it takes until the join stands at white space. There both
-sides agree with the encoding of the whole text exactly: the vocabulary's normaliser never composes
-over a blank, its pattern drops white space, and no added token holds any.
+first and last white space is encoded once and kept under its bytes. A word that a cut goes through is repaired: a window of it and a
+word on either side is encoded again, and grows by a word on either side until its first and last words have exactly the tokens
+that the chunks gave them; between these stand the tokens of the join. White space there always is: the vocabulary's normaliser
+never composes over a blank, its pattern drops white space, and no added token holds any.
 
 Caches live in the Python worker, are bounded by bytes and go when the task ends; they only save time. A lost executor loses
-its cache and nothing else. Null text: no tokens, an empty decoded text.
+its cache and nothing else. Null text: no tokens, an empty decoded text, as of an empty one. Texts are read whole; repeated rows and null ids each
+come out; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,9 @@ from . import common
 
 #: Multiplier of the hash, and the number of its top bits that are nought at a cut: chunks of 256 bytes on average.
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 8
-_SPACES = frozenset(bytes([x]) for x in common.SPACE)
+_SPACES = frozenset(common.SPACE)
+_BLANKS = [bytes([x]) for x in common.SPACE]
+_BLANK, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes that the caches of words and of chunks may take, about. A word longer than WORD_MAX bytes is encoded and not kept.
 WORDS, CHUNKS, WORD_MAX, ENTRY = 48 << 20, 24 << 20, 256, 350
 
@@ -41,6 +45,58 @@ def cuts(text: bytes) -> np.ndarray:
     return at[at < len(text)]
 
 
+def spans(text: bytes) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a join) of the parts of a text: words that cuts go through, and what stands between."""
+    at = 0
+    for cut in cuts(text).tolist():
+        if cut <= at:
+            continue
+        if text[cut] in _SPACES or text[cut - 1] in _SPACES:
+            yield at, cut, False
+            at = cut
+            continue
+        start = _word_start(text, at, cut)
+        if start > at:
+            yield at, start, False
+        at = m.start() if (m := _BLANK.search(text, cut)) else len(text)
+        yield start, at, True
+    if at < len(text):
+        yield at, len(text), False
+
+
+def _word_start(text: bytes, low: int, stop: int) -> int:
+    """Where the word that holds the byte before `stop` starts, not before `low`; looked for in steps, so time follows the word."""
+    step = 64
+    while True:
+        since = max(low, stop - step)
+        at = max(text.rfind(s, since, stop) for s in _BLANKS)
+        if at >= 0 or since == low:
+            return at + 1 if at >= 0 else low
+        step *= 4
+
+
+def around(text: bytes, a: int, b: int, words: int = 1) -> tuple[tuple[int, int], list[bytes], list[bytes]]:
+    """((start, end) of a window, the words in it before text[a:b], those after): so many words on either side, if there are."""
+    left, right, start, end = [], [], a, b
+    for _ in range(words):
+        stop = start
+        while stop > 0 and text[stop - 1] in _SPACES:
+            stop -= 1
+        if not stop:
+            start = 0
+            break
+        start = _word_start(text, 0, stop)
+        left.insert(0, text[start:stop])
+    for _ in range(words):
+        m = _WORD.search(text, end)
+        if m is None:
+            end = len(text)
+            break
+        end = m.end()
+        right.append(m.group())
+    return (start, end), left, right
+
+
 class _Words(dict):
     """What a word gives; a word that isn't kept is made and not kept."""
 
@@ -71,6 +127,7 @@ class Codec:
         self.ids = _Words(self._ids)
         self.said = _Words(lambda word: self._said(self.ids[word]))
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.windows: dict[bytes, bytes] = {}
         self.of_words = self.of_chunks = 0
 
     def _ids(self, word: bytes) -> bytes:
@@ -80,13 +137,16 @@ class Codec:
         return b"".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()]) if self.plain else b""
 
     def learn(self, texts: list[bytes]) -> None:
-        """Encodes the words of the texts that aren't kept yet, many at a time, parted by blanks."""
+        """Encodes the words of the texts that aren't kept yet, many at a time, parted by blanks, and the windows of their joins."""
         here = {w for w in set().union(*map(bytes.split, texts)) if len(w) <= WORD_MAX}
         new = list(here.difference(self.ids))
         if self.of_words > WORDS:
             self.ids.clear()
             self.said.clear()
             self.of_words, new = 0, list(here)
+        windows = list({t[slice(*around(t, a, b)[0])] for t in texts for a, b, joined in spans(t) if joined})
+        codes = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in windows], add_special_tokens=False)
+        self.windows = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(windows, codes, strict=True)}
         said = [w.decode("utf-8", "replace") for w in new]
         parts = [said[k : k + 64] for k in range(0, len(said), 64)]
         codes = self.library.encode_batch([" ".join(x) for x in parts], add_special_tokens=False)
@@ -115,31 +175,33 @@ class Codec:
             self.of_chunks += ENTRY + len(part) + len(got[0]) + len(got[1])
         return got
 
+    def join(self, text: bytes, a: int, b: int) -> bytes:
+        """The ids of the word text[a:b] that a cut goes through, from a window that agrees with the words on either side."""
+        words = 1
+        while True:
+            (start, end), left, right = around(text, a, b, words)
+            window = text[start:end]
+            if (got := self.windows.get(window)) is None:
+                got = self._ids(window)
+            first, last = b"".join(map(self.ids.__getitem__, left)), b"".join(map(self.ids.__getitem__, right))
+            if got.startswith(first) and got.endswith(last) and len(got) >= len(first) + len(last):
+                return got[len(first) : len(got) - len(last)]
+            if start == 0 and end == len(text):
+                raise ValueError("a join that its whole text doesn't repair")
+            words += 1
+
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """The ids and the decoded text of the whole text."""
         ids: list[bytes] = []
         said: list[bytes] = []
-        held = b""  # the word that spans the join, as far as it is known
-        start = 0
-        for end in [*cuts(text).tolist(), len(text)]:
-            chunk = text[start:end]
-            start = end
-            head = chunk.split(None, 1)[0] if chunk[:1] not in _SPACES and chunk else b""
-            if len(head) == len(chunk):
-                held += chunk
-                continue
-            tail = b"" if chunk[-1:] in _SPACES else chunk.rsplit(None, 1)[-1]
-            if joined := held + head:
-                ids.append(self.ids[joined])
-                said.append(self.said[joined])
-            if part := chunk[len(head) : len(chunk) - len(tail)].strip():
+        for a, b, joined in spans(text):
+            if joined:
+                ids.append(self.join(text, a, b))
+                said.append(self._said(ids[-1]))
+            elif part := text[a:b].strip():
                 got = self.inner(part)
                 ids.append(got[0])
                 said.append(got[1])
-            held = tail
-        if held:
-            ids.append(self.ids[held])
-            said.append(self.said[held])
         whole = b"".join(ids)
         if self.plain:
             return whole, b"".join(said)[:-1]
