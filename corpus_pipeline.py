@@ -6,8 +6,6 @@ run() writes each as Parquet into the folder of spark.checkpoint.dir and reads i
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loomcorpus.llm import stages
@@ -25,9 +23,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{stages.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over the table `documents`. What a stage has written is deleted when the next has been; the last one's
+    stays for the caller. Null, empty and long texts, repeated rows, an empty table and other columns are as each stage says."""
+    folder = stages.shared_folder(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        at = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            stages.discard(spark, before)
+        before = at
     return docs

@@ -1,24 +1,26 @@
 """Mixing sources to target weights: iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells by source, language and topic; a cell weighs its tokens. The weights are raked:
-scaled in turn so that the sources', the languages' and the topics' sums meet their targets, ROUNDS times.
-A cell's ratio of raked to original weight, over the largest such ratio, is the probability that each of its
+scaled in turn so that the sources', the languages' and the topics' sums meet their targets, until all sums are within TOLERANCE of them,
+or for ROUNDS turns. A cell's ratio of raked to original weight, over the largest such ratio, is the probability that each of its
 documents is sampled, so the sample's expected tokens keep the raked proportions. A document is taken if a number
 that its id alone decides (from its md5) is below the probability: the same on every run and machine.
 
 Targets are a share for each value, or an exponent that tempers the shares found. Values without a target keep the share
-they have. Nulls in a key are the value ''. A null text has no tokens; cells without tokens keep probability 1. Rows with
-equal ids share their fate; a null id counts as ''.
+they have. Nulls in a key are the value ''. A null or empty text has no tokens; cells without tokens keep probability 1. Texts are counted
+whole. Rows with equal ids share their fate; a null id counts as ''. An empty table stays empty. Columns are added under names that the
+table doesn't have yet (see `names`); its own, whatever they are called, stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-ROUNDS = 12
+#: Turns at most; the largest deviation from a target, as a share of it, at which raking ends.
+ROUNDS, TOLERANCE = 40, 1e-13
 KEYS = ("source", "lang", "topic")
 #: Exponents of the tempered shares: 1 keeps them, 0 makes them equal.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 1.0}
@@ -45,49 +47,66 @@ def draw(doc_id: Column) -> Column:
 def targets(cells: DataFrame, key: str, wanted: DataFrame | float) -> DataFrame:
     """(key, goal): the sum that each value's weights are scaled to. `wanted`: an exponent, or rows (key, share)."""
     found = cells.groupBy(key).agg(F.sum("w").alias("have"))
-    all_ = Window.partitionBy()
+    over = lambda rows, **sums: rows.join(F.broadcast(rows.agg(*(F.sum(c).alias(n) for n, c in sums.items()))))
     if isinstance(wanted, DataFrame):
         share = found.join(wanted.select(F.col(key), F.col("share").cast("double").alias("share")), key, "left")
-        share = share.withColumn("p", F.coalesce("share", F.col("have") / F.sum("have").over(all_)))
+        share = over(share, _all="have").withColumn("p", F.coalesce("share", F.col("have") / F.nullif("_all", F.lit(0.0)))).drop("_all")
     else:
         share = found.withColumn("p", F.pow("have", F.lit(float(wanted))))
-    return share.select(key, (F.col("p") / F.sum("p").over(all_) * F.sum("have").over(all_)).alias("goal"))
+    return over(share, _p="p", _all="have").select(key, (F.col("p") / F.nullif("_p", F.lit(0.0)) * F.col("_all")).alias("goal"))
 
 
-def rake(cells: DataFrame, wanted: dict[str, DataFrame | float], rounds: int = ROUNDS) -> DataFrame:
-    """`cells` (the keys, w) with raked, the fitted weight. All steps are windows over the cells, so the
-    lineage grows by one shuffle of the cells a step."""
+def rake(cells: DataFrame, wanted: dict[str, DataFrame | float], scratch: common.Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """`cells` (the keys, w) with raked, the fitted weight. A step aggregates the cells' weights by one key and joins the sums back;
+    each is written, so lineage doesn't grow. The driver sees a turn's largest deviation, one number a key."""
     now = cells.withColumn("raked", F.col("w"))
     for key, want in wanted.items():
-        now = now.join(targets(cells, key, want).withColumnRenamed("goal", f"goal_{key}"), key)
+        now = now.join(targets(cells, key, want).withColumnRenamed("goal", f"goal_{key}"), key).withColumn(f"off_{key}", F.lit(0.0))
+    now = scratch.put(now, "raked")
     for _ in range(rounds):
         for key in wanted:
-            total = F.sum("raked").over(Window.partitionBy(key))
-            now = now.withColumn("raked", F.col("raked") * F.coalesce(F.col(f"goal_{key}") / F.nullif(total, F.lit(0.0)), F.lit(1.0)))
+            sums = now.groupBy(key).agg(F.sum("raked").alias("_sum"))
+            factor = F.coalesce(F.col(f"goal_{key}") / F.nullif(F.col("_sum"), F.lit(0.0)), F.lit(1.0))
+            step = now.join(sums, key).withColumn(f"off_{key}", F.abs(factor - 1)).withColumn("raked", F.col("raked") * factor)
+            now = scratch.put(step.select(*now.columns), "raked")
+        worst = now.agg(F.max(F.greatest(*(F.col(f"off_{k}") for k in wanted), F.lit(0.0))).alias("x")).first()["x"]
+        if worst is None or worst <= tolerance:
+            break
     return now.select(*cells.columns, "raked")
 
 
 def probabilities(docs: DataFrame, wanted: dict[str, DataFrame | float] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(source, lang, topic, probability) of every cell of `docs` (source, lang, text)."""
     keyed = docs.select(*(F.coalesce(k, F.lit("")).alias(k) for k in KEYS[:2]), topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n"))
-    cells = common.keep(keyed.groupBy(*KEYS).agg(F.sum("n").alias("w")), "cells")
-    raked = rake(cells, TEMPER if wanted is None else wanted, rounds).withColumn("ratio", F.coalesce(F.col("raked") / F.nullif("w", F.lit(0.0)), F.lit(0.0)))
-    most = F.max("ratio").over(Window.partitionBy())
-    return common.keep(raked.select(*KEYS, F.round(F.when(F.col("w") > 0, F.col("ratio") / most).otherwise(1.0), 9).alias("probability")), "probabilities")
+    with common.Scratch(docs.sparkSession) as scratch:
+        cells = scratch.put(keyed.groupBy(*KEYS).agg(F.sum("n").alias("w")), "cells")
+        raked = rake(cells, TEMPER if wanted is None else wanted, scratch, rounds).withColumn("ratio", F.coalesce(F.col("raked") / F.nullif("w", F.lit(0.0)), F.lit(0.0)))
+        most = raked.agg(F.max("ratio").alias("most"))
+        share = F.round(F.when(F.col("w") > 0, F.col("ratio") / F.col("most")).otherwise(1.0), 9)
+        return scratch.last(raked.join(F.broadcast(most)).select(*KEYS, share.alias("probability")), "probabilities")
+
+
+def names(docs: DataFrame) -> tuple[str, str, str]:
+    """What mix() calls the topic, the probability, and whether a row is taken."""
+    return common.free(docs, "_topic"), common.free(docs, "_probability"), common.free(docs, "_selected")
 
 
 def mix(docs: DataFrame, wanted: dict[str, DataFrame | float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """All rows and columns of `docs` (doc_id, source, lang, text), with _topic, _probability and _selected."""
-    cells = probabilities(docs, wanted, rounds).select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("probability").alias("_probability"))
+    """All rows and columns of `docs` (doc_id, source, lang, text), and those of names()."""
+    topic_, probability, taken = names(docs)
+    cell, other = common.free(docs, "_cell"), common.free(docs, "_other")
+    cells = probabilities(docs, wanted, rounds).select(F.struct(*KEYS).alias(cell), F.col("probability").alias(probability))
+    key = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col(topic_).alias("topic"))
+    marked = docs.withColumn(topic_, topic(F.col("text"))).withColumn(cell, key)
     if cells.count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
-    marked = docs.withColumn("_topic", topic(F.col("text")))
-    met = (F.coalesce(marked["source"], F.lit("")) == F.col("_s")) & (F.coalesce(marked["lang"], F.lit("")) == F.col("_l")) & (F.col("_topic") == F.col("_t"))
-    return marked.join(cells, met).drop("_s", "_l", "_t").withColumn("_selected", draw(F.col("doc_id")) < F.col("_probability"))
+        met = marked.join(F.broadcast(cells), cell)
+    else:
+        met = common.join_split(marked.withColumn(other, F.xxhash64("doc_id", "text")), cells, cell, other)
+    return met.withColumn(taken, draw(F.col("doc_id")) < F.col(probability)).select(*common.named([*docs.columns, topic_, probability, taken]))
 
 
-def oracle_sql(rounds: int = ROUNDS) -> str:
-    """The rows of query op10 in DuckDB's SQL."""
+def oracle_sql(rounds: int = 16) -> str:
+    """The rows of query op10 in DuckDB's SQL, with so many turns, which are more than raking takes to end on these tables."""
     has = lambda s: f"contains(coalesce(text, ''), '{s}')"
     steps = [
         f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,

@@ -66,7 +66,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mixed = mixing.mix(docs)
     keys = [F.coalesce(k, F.lit("")).alias(k) for k in ("source", "lang")]
     return mixed.select("doc_id", *keys, F.col("_topic").alias("topic"), F.col("_probability").alias("probability"), F.col("_selected").alias("selected"))
 

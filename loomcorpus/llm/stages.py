@@ -11,7 +11,7 @@ from . import common, jaccard, mixing
 from . import pii as _pii
 from . import toxicity as _toxicity
 
-shared_folder = common.shared_folder
+shared_folder, discard = common.shared_folder, common.discard
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -44,16 +44,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked; n_chars follows the text."""
+    """All documents, personal data masked; n_chars, if there is one, follows the text (null for a null text). Rows stay as many as they
+    are, repeated ones and null ids too; an empty table stays empty; other columns pass by."""
     done = _pii.redact(docs)
-    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the raked weights of source, language and topic sample."""
-    return mixing.mix(docs).where("_selected").select(*docs.columns)
+    """The documents that the raked weights of source, language and topic sample. Rows of equal ids, null ones among them, are taken or left
+    together; null keys and texts count as empty; an empty table stays empty; other columns pass by."""
+    taken = mixing.names(docs)[2]
+    return mixing.mix(docs).where(F.col(taken)).select(*common.named(docs.columns))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's id, token ids, and the text they decode to."""
+    """Each row's id, token ids, and the text they decode to: none and an empty one for a null text. Repeated rows and null ids stay; an
+    empty table gives no rows."""
     return _bpe.encode(docs, public_tokenizers.path(TOKENIZER))
