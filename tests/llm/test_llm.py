@@ -185,6 +185,7 @@ def test_term_spans_equal_brute_force(spark):
     words = ["river", "stone", "tree", "road", "house", "cloud", "Kowalski,", "(Nowak)"]
     texts = [" ".join(r.choice(words[:6]) for _ in range(r.randint(3, 25))) for _ in range(60)]
     texts += [f"{r.choice(words[:6])} {i} {r.choice(words)} {'x@y.org' if r.random() < 0.7 else '10.0.0.1'} {r.choice(words)} {r.choice(words[:6])}" for i in range(40)]
+    texts += [f"{r.choice(words[:6])} {i}q Lewandowski, lew@pol.pl {r.choice(words[:6])} {i}z" for i in range(5)]
     texts += texts[:7]
     found = {t: pii.base_spans(t) for t in texts}
     terms = {t: {w for w, _, _ in pii.terms_of(t, s)} for t, s in found.items()}
