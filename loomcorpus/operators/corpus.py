@@ -33,6 +33,11 @@ def resume(docs: DataFrame, shard: int, rg: int, rank: int, world: int, epochs:
     return every.where((F.col("epoch") > 1) | ahead)
 
 
+def batched(docs: DataFrame, size: int) -> DataFrame:
+    """`docs` with batch, the run of `size` documents of its row group that each is in: batches never cross a row group."""
+    return docs.withColumn("batch", F.expr(f"pos div {size}"))
+
+
 def running_sum(rows: DataFrame, value: str, out: str, part: str = "shard", order: tuple[str, ...] = ("rg", "pos")) -> DataFrame:
     """`rows` with the sum of `value` up to and with each row, in the order of part, then order.
 

@@ -88,3 +88,10 @@ def left_crop(tokens, most: int):
 
 def right_pad(tokens, size, pad):
     return F.concat(tokens, F.array_repeat(pad, F.greatest(size - F.size(tokens), F.lit(0))))
+
+
+def cropped_span(tokens, start, end, most: int):
+    """(tokens, start, end): the last `most` tokens, and the span's places in them; what is cut off on the left goes from either place. A
+    span that would begin before the first token begins with it."""
+    off = F.greatest(F.size(tokens) - most, F.lit(0))
+    return left_crop(tokens, most), F.greatest(start - off, F.lit(0)), F.greatest(end - off, F.lit(0))

@@ -85,3 +85,17 @@ def utf8_token_counts(spark, sf_dir):
     """Tokens of the vocabulary without merges: bytes."""
     rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.length("text")).alias("n_chars"))
     return rows.withColumn("bytes_per_char", F.round(F.col("n_bytes") / F.col("n_chars"), 6))
+
+
+@query(f"SELECT shard, rg, pos // 24 AS batch, count(*) AS docs, min(doc_id) AS first_id FROM ({_PLACE}) GROUP BY ALL")
+def document_batches(spark, sf_dir):
+    return C.batched(_docs(spark, sf_dir), 24).groupBy("shard", "rg", "batch").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS n_tokens, md5(text) AS text_md5 FROM documents")
+def detokenised(spark, sf_dir):
+    """Texts from their tokens, as a source of tokens is made text before it is cut into shards anew; the vocabulary without merges."""
+    from ..functions import bpe
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), []).alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(bpe.decode(F.col("ids"), [])).alias("text_md5"))

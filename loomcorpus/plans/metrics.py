@@ -75,3 +75,19 @@ def left_crop_pad(spark, sf_dir):
     cut = table(spark, sf_dir, "embeddings").select("vec_id", M.left_crop(F.slice("embedding", F.lit(1), (F.col("vec_id") % 64 + 1).cast("int")), 20).alias("a"))
     padded = M.right_pad(F.col("a"), F.lit(20), F.lit(0.0).cast("float"))
     return cut.select("vec_id", F.size("a").cast("long").alias("n"), F.round(F.aggregate(padded, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(f"WITH a AS (SELECT task, avg(correct::INT) AS accuracy FROM ({_SCORED}) WHERE task IN ('src1', 'src2', 'src3') GROUP BY task) SELECT round(avg((accuracy - 0.25) / 0.75), 6) AS composite, count(*) AS n_tasks FROM a HAVING count(*) = 3")
+def categorical_composite(spark, sf_dir):
+    """The composite of the tasks that are answered by a letter alone."""
+    rows = M.accuracy(_scored(spark, sf_dir), "task").withColumn("baseline", F.lit(0.25))
+    return M.composite(M.centred(rows, percent=False), ["src1", "src2", "src3"]).withColumn("composite", F.round("composite", 6))
+
+
+@query("""WITH a AS (SELECT vec_id, embedding[1:vec_id % 64 + 1] AS a, vec_id % 64 + 1 AS n FROM embeddings)
+SELECT vec_id, greatest(n // 2 - greatest(n - 20, 0), 0)::BIGINT AS start, (n - greatest(n - 20, 0))::BIGINT AS stop, least(n, 20)::BIGINT AS n FROM a""")
+def cropped_spans(spark, sf_dir):
+    n = (F.col("vec_id") % 64 + 1).cast("int")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), n).alias("a"), F.floor(n / 2).cast("long").alias("s"), n.cast("long").alias("e"))
+    tokens, start, end = M.cropped_span(F.col("a"), F.col("s"), F.col("e"), 20)
+    return rows.select("vec_id", start.alias("start"), end.alias("stop"), F.size(tokens).cast("long").alias("n"))

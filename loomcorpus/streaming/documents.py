@@ -15,6 +15,16 @@ def stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def appended(records: DataFrame, path: str, checkpoint: str):
+    """Starts a stream that appends records to JSON files, each batch once: one that is written again after a stop takes the place of
+    what it wrote before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def totals(docs: DataFrame, by: str) -> DataFrame:
     """Running counts and characters by a column, for the update and complete modes."""
     return docs.groupBy(by).agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))

@@ -216,3 +216,11 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     # Running totals don't depend on where the stream was cut.
     whole = documents.totals(spark.read.parquet(f"{tmp_path}/out").withColumn("k", F.col("doc_id") % 2), "k").collect()
     assert {(r["k"], r["docs"], r["chars"]) for r in whole} == {(0, 15, 30), (1, 15, 30)}
+
+
+def test_metrics_are_appended(spark, tmp_path):
+    for k in range(2):
+        spark.range(3 * k, 3 * k + 3).select(F.col("id").alias("step"), (F.col("id") / 2).alias("value")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}.parquet")
+        rows = spark.readStream.schema("step long, value double").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        documents.appended(rows, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert sorted(r["step"] for r in spark.read.json(f"{tmp_path}/out").collect()) == list(range(6))
