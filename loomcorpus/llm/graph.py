@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: With fewer edges no node is looked for that has many.
-HOT = 300
+HOT = 5000
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:

@@ -12,8 +12,8 @@ set; a fragment counts, for its shingles alone, in how many sets each stands, an
 3. Candidate pairs are counted fragment by fragment, each partial overlap on its own, and summed per pair.
 
 Groups of near copies are never expanded into pairs. The sets that meet at a shingle are first compared with
-one of them, the one with the fewest shingles of its own, and what links falls together; this is done PIVOTS
-times, with another one each time. Only sets that meet at a shingle and are still apart are then compared in
+one of them, the one with the fewest shingles of its own, and what links falls together; this is done up to PIVOTS
+times, with another one each time, while comparing all would make more pairs than there are places in the sets' prefixes. Only sets that meet at a shingle and are still apart are then compared in
 full, all of them, so no link between different components is missed. Sets of equal shingles are one set from the start.
 
 Sets and shingles go by 64-bit hashes: among 10**9 different sets, two collide with a chance of 3 %.
@@ -270,6 +270,7 @@ def components(scratch: common.Scratch, postings: DataFrame, segments: DataFrame
     """(node, label) of every set that links with another; the label is the same for all that links reach."""
     spark = postings.sparkSession
     links = labels = tried = None
+    places = postings.count()
     for turn in range(PIVOTS + 1):
         here = postings.withColumn("label", F.col("node"))
         if labels is not None:
@@ -277,7 +278,8 @@ def components(scratch: common.Scratch, postings: DataFrame, segments: DataFrame
         here = scratch.put(here, "open")
         order = F.struct("own", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "label") if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("n"), F.col("pos"), F.col("label"))
         open_ = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("p")).where("low <> high")
-        if turn < PIVOTS:
+        last = turn == PIVOTS or _pairs_left(here) <= places
+        if not last:
             pivots = open_.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.label").alias("other_label"))
             met = common.join_split(here, pivots, "token", "node").where(F.col("label") != F.col("other_label"))
         else:
@@ -288,13 +290,23 @@ def components(scratch: common.Scratch, postings: DataFrame, segments: DataFrame
         pairs = scratch.put(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         if pairs.isEmpty():  # sets at a shingle may link though none links with its pivot
+            if last:
+                break
             continue
         found = scratch.put(verified(pairs, segments, percent), "links")
         links = found if links is None else links.unionAll(found)
         labels = scratch.put(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "labels")
+        if last:
+            break
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
+def _pairs_left(here: DataFrame) -> int:
+    """How many pairs of sets of different labels meet at a shingle, at most."""
+    n = here.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return int(n.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("double")).alias("p")).first()["p"] or 0)
+
+
 def _all_apart(scratch: common.Scratch, here: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """All that is still apart at a shingle, set by set. Sets link only if the smaller has PERCENT of the larger's shingles, so they
     meet by shingle and step of size (a factor of 100 / PERCENT each: in the same step or the next); the join itself tests what

@@ -13,6 +13,8 @@ from . import toxicity as _toxicity
 
 shared_folder, discard = common.shared_folder, common.discard
 TOKENIZER = "word_bpe_49k.json"
+#: Rows to leave out (an id and a hash each) that are sent to all tasks at most; with more, texts are shuffled to meet them.
+BROADCAST_ROWS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
@@ -33,13 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with common.Scratch(spark) as scratch:
         met = common.join_split(found, first, "label", "mark").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
         gone = scratch.last(met.where("NOT stays").select("doc_id", "mark").distinct(), "gone")
+        few = gone.count() <= BROADCAST_ROWS
         twice = scratch.last(met.where("stays").groupBy("doc_id", "mark").count().where("count > 1").drop("count"), "twice")
     key, mark = common.free(docs, "_key"), common.free(docs, "_mark")
     docs_ = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-    among = lambda rows, other, how: rows.join(other.select(F.col("doc_id").alias("i"), F.col("mark").alias("m")), F.col(key).eqNullSafe(F.col("i")) & (F.col(mark) == F.col("m")), how)
-    kept = among(docs_, gone, "left_anti")
+    renamed = lambda other: other.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"))
+    among = lambda rows, other, how: rows.join(other, F.col(key).eqNullSafe(F.col("i")) & (F.col(mark) == F.col("m")), how)
+    kept = among(docs_, F.broadcast(renamed(gone)) if few else renamed(gone), "left_anti")
     if not twice.isEmpty():
-        kept = among(kept, twice, "left_anti").unionAll(among(kept, twice, "left_semi").dropDuplicates([key, mark]))
+        kept = among(kept, renamed(twice), "left_anti").unionAll(among(kept, renamed(twice), "left_semi").dropDuplicates([key, mark]))
     return kept.select(*common.named(docs.columns))
 
 
