@@ -1,11 +1,14 @@
 """Operators that SQL can't express, against plain Python."""
 
+import functools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomcorpus import plans
 from loomcorpus.functions import bpe, sandbox
 from loomcorpus.operators import corpus, metrics, packing, retrieval, runs
 from loomcorpus.streaming import documents
@@ -82,6 +85,32 @@ def test_assignment(spark):
     assert {(x["row_id"], x["win"]): x["vec_id"] for x in got.collect()} == want
 
 
+def test_shard_search_equals_its_sql_where_the_best_hits_repeat_a_text(spark, tmp_path):
+    # Texts of three vectors each, near each other: the four best hits of a query hold the same text more than once.
+    r = np.random.default_rng(5)
+    of_text = np.repeat(r.normal(size=(70, 8)), 3, 0)
+    x = (of_text + 0.05 * r.normal(size=of_text.shape)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = plans.QUERIES["shard_search_merge"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL['shard_search_merge']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 11 <= len(want) < 44
+
+
+def test_equal_vectors_tie_and_scores_add_up_in_order(spark):
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(40, 67)), 9, 0).astype(np.float32)[r.permutation(360)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    queries = rows.where("vec_id < 7").withColumnRenamed("vec_id", "query_id")
+    got = sorted(map(tuple, retrieval.top_k(queries, rows, 13).collect()))
+    want = []
+    for q in range(7):
+        score = [functools.reduce(lambda s, ab: s + ab[0] * ab[1], zip(x[q].astype(float).tolist(), v.astype(float).tolist(), strict=True), 0.0) for v in x]
+        want += [(q, n + 1, i, score[i]) for n, i in enumerate(sorted(range(360), key=lambda i: (-score[i], i))[:13])]
+    assert got == want
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(0)
     rows = spark.createDataFrame([(i, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(80)], "vec_id long, embedding array<double>")
