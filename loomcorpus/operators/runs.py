@@ -18,10 +18,11 @@ def interpolated(points: DataFrame, grid: DataFrame, beyond: float = 1.02) -> Da
     none = F.lit(None).cast("double")
     asked = points.select("run").distinct().join(grid.select(F.col("x").cast("double").alias("x")).distinct()).select("run", "x", none.alias("px"), none.alias("py"))
     known = points.select("run", F.col("x").cast("double").alias("x"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    own = Window.partitionBy("run").orderBy("x")
+    own, turned = Window.partitionBy("run").orderBy("x"), Window.partitionBy("run").orderBy(F.desc("x"))
     point = F.when(F.col("px").isNotNull(), F.struct("px", "py"))
     back = F.last(point, True).over(own.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(point, True).over(own.rangeBetween(0, Window.unboundedFollowing))
+    # The same as the first of all rows ahead, but a frame that grows: one that shrinks is read anew for each row.
+    ahead = F.last(point, True).over(turned.rangeBetween(Window.unboundedPreceding, 0))
     met = known.unionAll(asked).select("run", "x", "px", back.alias("a"), ahead.alias("b")).where("px IS NULL AND a IS NOT NULL")
     y = F.when(F.col("b").isNull() | (F.col("a.px") == F.col("b.px")), F.col("a.py")).otherwise(F.col("a.py") + (F.col("b.py") - F.col("a.py")) * (F.col("x") - F.col("a.px")) / (F.col("b.px") - F.col("a.px")))
     return met.where(F.col("b").isNotNull() | (F.col("x") <= F.col("a.px") * beyond)).select("run", "x", y.alias("y"))

@@ -111,6 +111,18 @@ def test_equal_vectors_tie_and_scores_add_up_in_order(spark):
     assert got == want
 
 
+def test_interpolation_reads_no_window_anew_for_each_row(spark):
+    r = np.random.default_rng(8)
+    at = {run: np.sort(r.choice(500, 40 + run, replace=False)).astype(float) for run in range(3)}
+    y = {run: r.normal(size=len(x)) for run, x in at.items()}
+    points = spark.createDataFrame([(run, float(a), float(b)) for run in at for a, b in zip(at[run], y[run], strict=True)], "run int, x double, y double")
+    got = runs.interpolated(points, points.where("run = 1"))
+    want = {(run, x): float(np.interp(x, at[run], y[run])) for run in at for x in at[1].tolist() if at[run][0] <= x <= at[run][-1] * 1.02}
+    assert {(g["run"], g["x"]): g["y"] for g in got.collect()} == pytest.approx(want)
+    # A frame that ends with the partition takes a pass over the rest of it for each row.
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(0)
     rows = spark.createDataFrame([(i, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(80)], "vec_id long, embedding array<double>")
