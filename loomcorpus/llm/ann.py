@@ -4,8 +4,9 @@ The tree is fitted on a bounded sample; every vector is then put into its leaf.
 child and keeps the others in a priority queue by distance; it takes the nearest open branch next, until
 it has visited as many leaves as calibration on the sample asks for, and until these hold enough candidates.
 
-The vectors of a leaf meet its queries in blocks of bounded size, on either side as many as their counts ask for, so neither a
-full leaf nor a popular one lands in one task. Equal vectors are at one distance, ties go to the smaller id, so only the k + 1
+Vectors are dealt by the hash of their id over SHARES shares, so neither a full leaf nor a popular one lands in one task; queries, in parts of
+about QUERIES, go to every share with the set of their leaves. A task reads a share's vectors leaf by leaf and keeps each query's k best so
+far, so what it gives is k rows a query and share, however many leaves there are. Equal vectors are at one distance, ties go to the smaller id, so only the k + 1
 smallest ids of each can be results: the others are left out before anything is joined, which loses nothing.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null ids.
@@ -28,8 +29,8 @@ from . import common
 
 #: Vectors the tree is fitted on at most; children of a node; sample vectors of a leaf; recall to calibrate to; queries to calibrate with.
 SAMPLE, BRANCH, LEAF, RECALL, PROBES = 20_000, 16, 32, 0.95, 300
-#: Vectors and queries of a block.
-VECTORS, QUERIES = 2000, 512
+#: Shares that vectors are dealt over; queries of a part, that a task holds; vectors and queries that are compared at a time; pairs measured at a time.
+SHARES, QUERIES, VECTORS, ROWS, PAIRS = 64, 32_768, 512, 1024, 65_536
 
 
 class Tree:
@@ -131,14 +132,6 @@ def nearest(rows: DataFrame, query: Column, k: int = 10, sample: int = SAMPLE, r
         return scratch.last(_nearest(rows, query, k, sample, recall, scratch))
 
 
-def _blocks(rows: DataFrame, key: str, size: int, counts: dict[int, int], out: str) -> DataFrame:
-    """leaf, a: `rows` (leaf, key, nth, embedding) as arrays of about `size` at most, given the leaves' counts."""
-    many = {leaf: -(-n // size) for leaf, n in counts.items() if n > size}
-    parts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("leaf")], F.lit(1)) if many else F.lit(1)
-    block = F.pmod(F.xxhash64(key, "nth"), parts).alias("_b")
-    return rows.groupBy("leaf", block).agg(F.collect_list(F.struct(key, "nth", "embedding")).alias(out)).select("leaf", out)
-
-
 def _nearest(rows: DataFrame, query: Column, k: int, sample: int, recall: float, scratch: common.Scratch) -> DataFrame:
     spark = rows.sparkSession
     taken = scratch.put(usable(rows), "vectors")
@@ -152,7 +145,6 @@ def _nearest(rows: DataFrame, query: Column, k: int, sample: int, recall: float,
     tree = Tree(x)
     tree.calibrate(x, k, recall)
     kind = dict(taken.dtypes)["embedding"]
-    held = f"leaf long, {{}} long, nth int, embedding {kind}"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,48 +153,113 @@ def _nearest(rows: DataFrame, query: Column, k: int, sample: int, recall: float,
 
     equal = Window.partitionBy("embedding").orderBy("vec_id", "nth")
     first = taken.withColumn("_of_equal", F.row_number().over(equal)).where(F.col("_of_equal") <= k + 1).drop("_of_equal")
-    index = scratch.put(common.arrow(first, place, held.format("vec_id")), "index")
+    index = scratch.put(common.arrow(first, place, f"leaf long, vec_id long, nth int, embedding {kind}"), "index")
     # As many rows as the tree has leaves, which the sample bounds.
     sizes_of = lambda rows: {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     counts, visits, least = sizes_of(index), tree.visits, k + 1
 
+    nodes = len(tree.centre)
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                leaves = [tree.search(q, counts, visits, least) for q in _vectors(b.column(2))]
-                at = pa.array(np.repeat(np.arange(len(b)), [len(v) for v in leaves]))
-                yield pa.record_batch([pa.array([x for v in leaves for x in v], pa.int64()), *(c.take(at) for c in b.columns)], ["leaf", "query_id", "nth", "embedding"])
+                seen = np.zeros((len(b), nodes), bool)
+                for row, q in zip(seen, _vectors(b.column(2)), strict=True):
+                    row[tree.search(q, counts, visits, least)] = True
+                yield pa.record_batch([pa.array([x.tobytes() for x in np.packbits(seen, axis=1)], pa.binary()), *b.columns], ["leaves", "id", "nth", "embedding"])
 
-    asked = scratch.put(common.arrow(taken.where(query).withColumnRenamed("vec_id", "query_id"), visit, held.format("query_id")), "asked")
-    vectors, queries = _blocks(index, "vec_id", VECTORS, counts, "vs"), _blocks(asked, "query_id", QUERIES, sizes_of(asked), "qs")
-    found = common.arrow(vectors.join(queries, "leaf").select("vs", "qs"), _meet(k), "query_id long, nth int, vec_id long, score double")
+    asked = scratch.put(common.arrow(taken.where(query), visit, f"leaves binary, id long, nth int, embedding {kind}"), "asked")
+    found = _found(index, asked, max(1, -(-asked.count() // QUERIES)), k)
     rank = F.row_number().over(Window.partitionBy("query_id", "nth").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _found(index: DataFrame, asked: DataFrame, parts: int, k: int) -> DataFrame:
+    """query_id, nth, vec_id, score of each query's k nearest in each share, of the vectors in its leaves."""
+    place = F.xxhash64("id", "nth")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vectors = index.withColumnRenamed("vec_id", "id").select(F.pmod(place, F.lit(SHARES)).cast("int").alias("share"), every(parts).alias("part"), "leaf", "id", "nth", "embedding", F.lit(None).cast("binary").alias("leaves"))
+    queries = asked.select(every(SHARES).alias("share"), F.pmod(place, F.lit(parts)).cast("int").alias("part"), F.lit(-1).cast("long").alias("leaf"), "id", "nth", "embedding", "leaves")
+    # A share's queries come first, then its vectors by their leaves.
+    met = queries.unionAll(vectors).repartition(SHARES * parts, "share", "part").sortWithinPartitions("share", "part", "leaf")
+    return common.arrow(met, _meet(k), "query_id long, nth int, vec_id long, score double")
+
+
+class _Best:
+    """The k nearest so far of some queries (ids, nth, q), that visit the leaves of a bit each."""
+
+    def __init__(self, ids: np.ndarray, nth: np.ndarray, q: np.ndarray, leaves: np.ndarray, k: int):
+        self.ids, self.nth, self.q, self.leaves, self.k = ids, nth, q, leaves, k
+        self.square = (q**2).sum(1)
+        self.score, self.vec = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def meet(self, leaf: np.ndarray, ids: np.ndarray, nth: np.ndarray, v: np.ndarray) -> None:
+        """Takes in some vectors, ordered by leaf."""
+        ends = np.concatenate((np.flatnonzero(np.diff(leaf)) + 1, [len(leaf)]))
+        runs = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        square, own = (v**2).sum(1), np.flatnonzero(np.isin(ids, self.ids)).tolist()
+        for a in range(0, len(self.q), ROWS):
+            part = slice(a, a + ROWS)
+            q = self.q[part]
+            about = np.full((len(q), len(v)), np.inf)  # the squared distance less the query's own square
+            for i, j in runs:
+                at = np.flatnonzero(self.leaves[part, leaf[i] >> 3] >> (7 - (leaf[i] & 7)) & 1)
+                about[at, i:j] = square[i:j] - 2 * q[at] @ v[i:j].T
+            for j in own:
+                about[(self.ids[part] == ids[j]) & (self.nth[part] == nth[j]), j] = np.inf
+            self._take(part, about, ids, v)
+
+    def _take(self, part: slice, about: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        k, q = self.k, self.q[part]
+        # All that can be nearer than the k-th, or as near, are measured.
+        limit = self.score[part, -1] ** 2 - self.square[part]
+        if about.shape[1] > k:
+            limit = np.minimum(limit, np.partition(about, k - 1, axis=1)[:, k - 1])
+        known = np.isfinite(limit)
+        limit[known] += 1e-9 * (1 + np.abs(limit[known]) + self.square[part][known])
+        of, at = np.nonzero((about <= limit[:, None]) & np.isfinite(about))
+        if not len(of):
+            return
+        exact = np.concatenate([np.sqrt(((v[at[i : i + PAIRS]] - q[of[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(of), PAIRS)])
+        rows = np.concatenate((np.repeat(np.arange(len(q)), k), of))
+        score, vec = np.concatenate((self.score[part].ravel(), exact)), np.concatenate((self.vec[part].ravel(), ids[at]))
+        many = k + np.bincount(of, minlength=len(q))
+        best = np.lexsort((vec, score, rows))[((np.cumsum(many) - many)[:, None] + np.arange(k)).ravel()]
+        self.score[part], self.vec[part] = score[best].reshape(-1, k), vec[best].reshape(-1, k)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.q), ROWS):
+            of, at = np.nonzero(np.isfinite(self.score[a : a + ROWS]))
+            of += a
+            yield pa.record_batch([pa.array(self.ids[of], pa.int64()), pa.array(self.nth[of], pa.int32()), pa.array(self.vec[of, at], pa.int64()), pa.array(self.score[of, at], pa.float64())], ["query_id", "nth", "vec_id", "score"])
+
+
 def _meet(k: int):
-    """Of each block of vectors, the k nearest to each query of a block of queries."""
+    """Of rows ordered by share, part and leaf (-1: a query), the k nearest of each share's vectors to each of its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, best = None, [], None
         for b in batches:
-            for i in range(len(b)):
-                vs, qs = b.column(0)[i].values, b.column(1)[i].values
-                ids, nth = vs.field("vec_id").to_numpy(), vs.field("nth").to_numpy()
-                own, own_nth = qs.field("query_id").to_numpy(), qs.field("nth").to_numpy()
-                v, q = _vectors(vs.field("embedding")), _vectors(qs.field("embedding"))
-                at_q, at_v, scores = [], [], []
-                about = (v**2).sum(1) - 2 * q @ v.T
-                for j, row in enumerate(about):
-                    row[(ids == own[j]) & (nth == own_nth[j])] = np.inf
-                    near = np.flatnonzero(np.isfinite(row))
-                    if len(near) > k:  # all that can be nearer than the k-th, or as near
-                        last = np.partition(row, k - 1)[k - 1]
-                        near = np.flatnonzero(row <= last + 1e-9 * (1 + abs(last) + (q[j] ** 2).sum()))
-                    exact = np.sqrt(((v[near] - q[j]) ** 2).sum(1))
-                    best = np.lexsort((ids[near], exact))[:k]
-                    at_q += [j] * len(best)
-                    at_v += near[best].tolist()
-                    scores += exact[best].tolist()
-                yield pa.record_batch([pa.array(own[at_q], pa.int64()), pa.array(own_nth[at_q], pa.int32()), pa.array(ids[at_v], pa.int64()), pa.array(scores, pa.float64())], ["query_id", "nth", "vec_id", "score"])
+            share, part, leaf, ids, nth = (b.column(i).to_numpy() for i in range(5))
+            # Runs of one share, part and kind.
+            ends = np.flatnonzero((np.diff(share) != 0) | (np.diff(part) != 0) | (np.diff(leaf < 0))) + 1
+            for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(b)], strict=True):
+                if i == j:
+                    continue
+                if now != (now := (share[i], part[i])):
+                    if best:
+                        yield from best.rows()
+                    asked, best = [], None
+                if leaf[i] < 0:
+                    bits = np.frombuffer(b"".join(b.column(6)[i:j].to_pylist()), np.uint8).reshape(j - i, -1)
+                    asked.append((ids[i:j], nth[i:j], _vectors(b.column(5)[i:j]), bits))
+                elif asked or best:
+                    if asked:
+                        best, asked = _Best(*map(np.concatenate, zip(*asked, strict=True)), k), []
+                    for a in range(i, j, VECTORS):
+                        z = min(j, a + VECTORS)
+                        best.meet(leaf[a:z], ids[a:z], nth[a:z], _vectors(b.column(5)[a:z]))
+        if best:
+            yield from best.rows()
 
     return run

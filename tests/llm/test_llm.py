@@ -377,6 +377,34 @@ def test_ann_ties_and_repeated_ids(spark):
     assert (five[(five["rank"] == 1) & (five.score == 0)].vec_id == 5).all()
 
 
+def test_ann_rows_met_grow_with_the_queries_alone(spark, monkeypatch):
+    made, arrow = [], common.arrow
+
+    def counted(rows, run, schema, *empty):
+        got = arrow(rows, run, schema, *empty)
+        if "score" in schema:
+            made.append(got.count())
+        return got
+
+    monkeypatch.setattr(common, "arrow", counted)
+    x = np.random.default_rng(1).normal(size=(10000, 24)).astype(np.float32)
+    for n in (2500, 10000):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "vec_id long, embedding array<float>")
+        assert ann.nearest(rows, F.col("vec_id") % 100 == 0).count() == n // 10
+    assert made[1] <= 5 * made[0] and made[1] <= 100 * 10 * 64
+
+
+def test_ann_small_shares_parts_and_steps(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.integers(-3, 4, size=(700, 5)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    key = lambda: sorted(map(tuple, ann.nearest(rows, F.col("vec_id") % 7 == 0).collect()))
+    whole = key()
+    for name, value in {"SHARES": 3, "QUERIES": 40, "VECTORS": 17, "ROWS": 9, "PAIRS": 5}.items():
+        monkeypatch.setattr(ann, name, value)
+    assert key() == whole
+
+
 def test_ann_few_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(rows, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 2, 2.0)]
