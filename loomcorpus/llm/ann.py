@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample; every vector is then put into its leaf. A query goes down to the nearest
+The tree is fitted on a bounded sample; every vector is then put into its leaf. How many leaves a search visits is calibrated with a few
+queries against brute force over all vectors. A query goes down to the nearest
 child and keeps the others in a priority queue by distance; it takes the nearest open branch next, until
-it has visited as many leaves as calibration on the sample asks for, and until these hold enough candidates.
+it has visited as many leaves as calibration asks for, and until these hold enough candidates.
 
 Vectors are dealt by the hash of their id over SHARES shares, so neither a full leaf nor a popular one lands in one task; queries, in parts of
 about QUERIES, go to every share with the set of their leaves. A task reads a share's vectors leaf by leaf and keeps each query's k best so
@@ -87,17 +88,12 @@ class Tree:
             have += counts.get(node, 0)
         return out
 
-    def calibrate(self, x: np.ndarray, k: int, recall: float = RECALL, probes: int = PROBES, seed: int = 29) -> None:
-        """Widens the visits until `recall` of the k nearest in the sample are in the visited leaves."""
-        leaf = self.leaf_of(x)
-        counts = dict(zip(*(a.tolist() for a in np.unique(leaf, return_counts=True)), strict=True))
+    def calibrate(self, probes: np.ndarray, near: list[np.ndarray], counts: dict[int, int], recall: float = RECALL) -> None:
+        """Widens the visits until `recall` of the probes' nearest vectors are in the visited leaves."""
         ranks = []
-        for i in np.random.default_rng(seed).permutation(len(x))[:probes]:
-            d = ((x - x[i]) ** 2).sum(1)
-            d[i] = np.inf
-            near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-            order = {n: r for r, n in enumerate(self.search(x[i], counts, len(counts), 0))}
-            ranks += [order[n] for n in leaf[near].tolist()]
+        for q, v in zip(probes, near, strict=True):
+            order = {n: r for r, n in enumerate(self.search(q, counts, len(self.centre), 0))}
+            ranks += [order[n] for n in self.leaf_of(v).tolist()] if len(v) else []
         if ranks:
             self.visits = int(np.quantile(ranks, recall, method="higher")) + 1
 
@@ -143,7 +139,6 @@ def _nearest(rows: DataFrame, query: Column, k: int, sample: int, recall: float,
     taken = taken.where(F.size("embedding") == width)
     x = np.array(drawn["embedding"][sizes == width].tolist(), np.float64)
     tree = Tree(x)
-    tree.calibrate(x, k, recall)
     kind = dict(taken.dtypes)["embedding"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +151,9 @@ def _nearest(rows: DataFrame, query: Column, k: int, sample: int, recall: float,
     index = scratch.put(common.arrow(first, place, f"leaf long, vec_id long, nth int, embedding {kind}"), "index")
     # As many rows as the tree has leaves, which the sample bounds.
     sizes_of = lambda rows: {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    counts, visits, least = sizes_of(index), tree.visits, k + 1
-
-    nodes = len(tree.centre)
+    counts, nodes = sizes_of(index), len(tree.centre)
+    tree.calibrate(*_probed(index, taken, nodes, k), counts, recall)
+    visits, least = tree.visits, k + 1
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,6 +169,21 @@ def _nearest(rows: DataFrame, query: Column, k: int, sample: int, recall: float,
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _probed(index: DataFrame, taken: DataFrame, nodes: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """PROBES vectors and, of each, its k nearest of all vectors, by brute force: of the sample alone leaves would hold more of them,
+    because they were fitted to it."""
+    drawn = taken.orderBy(F.xxhash64("vec_id").desc(), "vec_id", "nth").limit(PROBES).select("vec_id", "nth", "embedding").toPandas()
+    every = F.lit(b"\xff" * (nodes // 8 + 1)).alias("leaves")
+    probes = taken.sparkSession.createDataFrame(drawn, taken.select("vec_id", "nth", "embedding").schema).select(every, F.col("vec_id").alias("id"), "nth", "embedding")
+    rank = F.row_number().over(Window.partitionBy("query_id", "nth").orderBy("score", "vec_id"))
+    found = _found(index, probes, 1, k).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("nth").alias("of"), "vec_id")
+    # PROBES * k rows, and more for repeated ids.
+    met = index.join(F.broadcast(found), "vec_id").select("query_id", "of", "embedding").toPandas()
+    near = {key: np.array(g["embedding"].tolist(), np.float64) for key, g in met.groupby(["query_id", "of"])}
+    x = np.array(drawn["embedding"].tolist(), np.float64)
+    return x, [near.get(key, x[:0]) for key in zip(drawn["vec_id"], drawn["nth"], strict=True)]
+
+
 def _found(index: DataFrame, asked: DataFrame, parts: int, k: int) -> DataFrame:
     """query_id, nth, vec_id, score of each query's k nearest in each share, of the vectors in its leaves."""
     place = F.xxhash64("id", "nth")

@@ -394,6 +394,20 @@ def test_ann_rows_met_grow_with_the_queries_alone(spark, monkeypatch):
     assert made[1] <= 5 * made[0] and made[1] <= 100 * 10 * 64
 
 
+def test_ann_recall_far_beyond_the_sample(spark):
+    # 12 times the sample: leaves fitted to the sample hold less of the other vectors' neighbours.
+    x = np.random.default_rng(2).normal(size=(6000, 32)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(rows, F.col("vec_id") % 50 == 0, sample=500).toPandas()
+    x = x.astype(np.float64)
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(g.vec_id))
+    assert hit / len(got) >= 0.92
+
+
 def test_ann_small_shares_parts_and_steps(spark, monkeypatch):
     r = np.random.default_rng(4)
     x = r.integers(-3, 4, size=(700, 5)).astype(np.float32)
