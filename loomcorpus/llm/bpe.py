@@ -33,6 +33,8 @@ _BLANKS = [bytes([x]) for x in common.SPACE]
 _BLANK, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes that the caches of words and of chunks may take, about. A word longer than WORD_MAX bytes is encoded and not kept.
 WORDS, CHUNKS, WORD_MAX, ENTRY = 48 << 20, 24 << 20, 256, 350
+#: Texts that the library encodes at a time: what it returns takes many times their bytes.
+AT_ONCE = 32
 
 
 def cuts(text: bytes) -> np.ndarray:
@@ -125,10 +127,10 @@ class Codec:
         self.plain = self.library.decoder is None
         self.names = [f"{self.library.id_to_token(i)} ".encode() for i in range(self.library.get_vocab_size())]
         self.ids = _Words(self._ids)
-        self.said = _Words(lambda word: self._said(self.ids[word]))
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.chunks: dict[bytes, bytes] = {}
         self.windows: dict[bytes, bytes] = {}
         self.of_words = self.of_chunks = 0
+        common.give_back()  # what reading the file took
 
     def _ids(self, word: bytes) -> bytes:
         return np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -142,11 +144,17 @@ class Codec:
         new = list(here.difference(self.ids))
         if self.of_words > WORDS:
             self.ids.clear()
-            self.said.clear()
             self.of_words, new = 0, list(here)
         windows = list({t[slice(*around(t, a, b)[0])] for t in texts for a, b, joined in spans(t) if joined})
-        codes = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in windows], add_special_tokens=False)
-        self.windows = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(windows, codes, strict=True)}
+        self.windows = {}
+        for k in range(0, len(windows), 16 * AT_ONCE):
+            run = windows[k : k + 16 * AT_ONCE]
+            codes = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in run], add_special_tokens=False)
+            self.windows |= {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(run, codes, strict=True)}
+        for k in range(0, len(new), 64 * AT_ONCE):
+            self._learn_words(new[k : k + 64 * AT_ONCE])
+
+    def _learn_words(self, new: list[bytes]) -> None:
         said = [w.decode("utf-8", "replace") for w in new]
         parts = [said[k : k + 64] for k in range(0, len(said), 64)]
         codes = self.library.encode_batch([" ".join(x) for x in parts], add_special_tokens=False)
@@ -159,20 +167,18 @@ class Codec:
                 ends.append(bisect_left(starts, place))
             for w, end in zip(new[64 * k : 64 * k + 64], ends, strict=True):
                 self.ids[w] = raw[4 * at : 4 * end]
-                self.said[w] = b"".join([self.names[i] for i in ids[at:end]]) if self.plain else b""
                 self.of_words += ENTRY + 4 * len(w)
                 at = end
 
-    def inner(self, part: bytes) -> tuple[bytes, bytes]:
-        """Of whole words between white space."""
+    def inner(self, part: bytes) -> bytes:
+        """The ids of whole words between white space."""
         if (got := self.chunks.get(part)) is None:
-            words = part.split()
-            got = b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.said.__getitem__, words)) if self.plain else b""
+            got = b"".join(map(self.ids.__getitem__, part.split()))
             if self.of_chunks > CHUNKS:
                 self.chunks.clear()
                 self.of_chunks = 0
             self.chunks[part] = got
-            self.of_chunks += ENTRY + len(part) + len(got[0]) + len(got[1])
+            self.of_chunks += ENTRY + len(part) + len(got)
         return got
 
     def join(self, text: bytes, a: int, b: int) -> bytes:
@@ -193,18 +199,14 @@ class Codec:
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """The ids and the decoded text of the whole text."""
         ids: list[bytes] = []
-        said: list[bytes] = []
         for a, b, joined in spans(text):
             if joined:
                 ids.append(self.join(text, a, b))
-                said.append(self._said(ids[-1]))
             elif part := text[a:b].strip():
-                got = self.inner(part)
-                ids.append(got[0])
-                said.append(got[1])
+                ids.append(self.inner(part))
         whole = b"".join(ids)
         if self.plain:
-            return whole, b"".join(said)[:-1]
+            return whole, b"".join(map(self._said, ids))[:-1]
         return whole, self.library.decode(np.frombuffer(whole, "<u4").tolist(), skip_special_tokens=False).encode()
 
 

@@ -87,6 +87,26 @@ def test_chunks_are_cut_alike():
     assert len(a) > 5 and {x - 5 for x in a[2:].tolist()} <= {x - 15 for x in b.tolist()}
 
 
+def test_bpe_learns_a_few_texts_at_a_time(monkeypatch):
+    codec, most = bpe.Codec(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Library:
+        def __getattr__(self, name):
+            def run(texts, **rest):
+                most.append(sum(map(len, texts)))
+                return getattr(library, name)(texts, **rest)
+
+            return run if name.startswith("encode_batch") else getattr(library, name)
+
+    library, codec.library = codec.library, Library()
+    r = random.Random(6)
+    text = " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(40_000)).encode()
+    codec.learn([text])
+    # What the library returns for all words at once would take some 50 MB.
+    assert max(most) < len(text) // 8
+    assert codec.encode(text)[0] == codec._ids(text)
+
+
 def test_joins_are_widened_until_they_agree():
     codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
     text = b"one two three four five"
