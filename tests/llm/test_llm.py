@@ -348,6 +348,32 @@ def test_graph(spark):
     assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_rules_count_every_labelled_row(spark):
+    # More good rows than any sample that was taken: 8 of 4,000 repeat half their words, so the bound of repeats (0.999) is between theirs and 0.
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(3, 8)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(4000)]
+    half = [x for i in range(8) if (x := " ".join([*(["again and so"] * (3 + i)), *(word() for _ in range(60))]))]
+    texts = [*texts[:-8], *half]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    with common.Scratch(spark) as scratch:
+        model = rules.fit(scratch.put(rules.counted(docs), "counts"), labels, scratch)
+    s = rules.statistics([t.encode() for t in texts])
+    x = rules.ratios(s)[~rules.failed(s)]
+    assert np.allclose(model.bound, np.quantile(x[:, -2:], rules.ORDINARY, axis=0)) and model.bound[0] > 0
+    score = model.forest.score(rules._beyond(x, model.bound))
+    assert model.threshold == pytest.approx(np.quantile(score, 1 - rules.LOSS) + 1e-9)
+
+
+def test_quantiles_of_all_rows(spark):
+    x = np.abs(np.random.default_rng(3).normal(size=(501, 2))).round(2)
+    rows = spark.createDataFrame([tuple(map(int, v)) for v in x.view(np.int64)], "a long, b long")
+    got = rules.quantiles(rows, {"a": 0.37, "b": 0.999})
+    assert got == pytest.approx({"a": np.quantile(x[:, 0], 0.37), "b": np.quantile(x[:, 1], 0.999)})
+    assert rules.quantiles(rows.limit(1), {"a": 0.9})["a"] in x[:, 0]
+
+
 # Nearest neighbours
 
 
