@@ -107,6 +107,71 @@ def test_bpe_learns_a_few_texts_at_a_time(monkeypatch):
     assert codec.encode(text)[0] == codec._ids(text)
 
 
+def _counted(codec):
+    """How many words the library was given, by a list that grows."""
+    library, given = codec.library, []
+
+    class Library:
+        def __getattr__(self, name):
+            def run(texts, **rest):
+                given.extend(w for t in ([texts] if isinstance(texts, str) else texts) for w in t.split())
+                return getattr(library, name)(texts, **rest)
+
+            return run if name.startswith("encode") else getattr(library, name)
+
+    codec.library = Library()
+    return given
+
+
+def test_words_are_encoded_once_whatever_their_capitals_and_marks(monkeypatch):
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    want = {t: codec._ids(t) for t in (b"Zorfel zorfel, ZORFEL. zorfel!", b"zorfel.\nZorfel")}
+    given = _counted(codec)
+    for t, ids in want.items():
+        codec.learn([t])
+        assert codec.encode(t)[0] == ids
+    assert sorted(given) == ["!", ",", ".", "zorfel"]
+    # Words met again outlast those met once, when these take too much.
+    monkeypatch.setattr(bpe, "WORDS", 40 * (bpe.ENTRY + 4 * 7))
+    name = lambda n: "x" + "".join(chr(97 + int(d)) for d in f"{n:06d}")
+    for k in range(0, 400, 8):
+        text = " ".join(["zorfel", *map(name, range(k, k + 8))]).encode()
+        codec.learn([text])
+        codec.encode(text)
+    assert given.count("zorfel") == 1 and len(codec.ids) + len(codec.old) < 60
+
+
+def test_folded_words_have_the_same_ids():
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    assert codec.folds and not bpe.Codec(public_tokenizers.path("byte_bpe_50k.json")).folds
+    marks = [chr(x) for x in range(33, 127) if not chr(x).isalnum()]
+    ends = [chr(x) for x in range(0xA0, 0x180)] + list("aZ9'_") + ["e\u0301", "H\u0331", "\u03a3", "\u212a", "\u4e2d", "it's", "IT'S", "<|EndOfText|>", "\x1c"]
+    words = [f"Ab{e}{m}{n}" for e in ends for m in marks for n in ("", ".", "'s", "'S.", "b")]
+    for k in range(0, len(words), 500):
+        for w, ids in zip(words[k : k + 500], codec.library.encode_batch_fast(words[k : k + 500], add_special_tokens=False), strict=True):
+            folded = codec.fold(w.encode())
+            if folded != w.encode():
+                assert codec.library.encode(folded.decode(), add_special_tokens=False).ids == ids.ids, w
+    assert codec.fold(b"The end, 9. It's&&& a<|b. x") == b"The end, 9. It's&&& a<|b. x"
+    assert codec.fold("The énd, 9.\nIt's&&& a'. ab.c x".encode()) == "the énd , 9 .\nit's &&& a'. ab.c x".encode()
+    assert codec.fold(b"A" * 100_000 + b"\xff") == b"A" * 100_000 + b"\xff"
+
+
+def test_codec_equals_the_library_on_odd_texts(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec, r = bpe.Codec(path), random.Random(9)
+    pieces = [*"aBéÉß×÷ÿŸ'.,<|>9~_-@[ \n\t ", "'RE", "!?", "&&", "<|endoftext|>", "<|EndOfText|>", "\x1c", "\x85", "\u0301", "\u212a", "Σ", "İ", "\u200b", "中", "hello", "Thé"]
+    for words, chunks, run in ((1 << 25, 1 << 24, 1 << 20), (1 << 12, 1 << 12, 1 << 10), (0, 0, 0)):
+        monkeypatch.setattr(bpe, "WORDS", words)
+        monkeypatch.setattr(bpe, "CHUNKS", chunks)
+        monkeypatch.setattr(bpe, "RUN", run)
+        texts = ["".join(r.choices(pieces, k=r.choice([0, 1, 5, 40, 400, 1500]))) for _ in range(60)]
+        for t, found in zip(texts, codec.learn([t.encode() for t in texts]), strict=True):
+            want = codec.library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(codec.encode(t.encode(), found)[0], "<u4").tolist() == want
+            assert codec.encode(t.encode())[1].decode() == codec.library.decode(want, skip_special_tokens=False)
+
+
 def test_joins_are_widened_until_they_agree():
     codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
     text = b"one two three four five"
