@@ -19,7 +19,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Bytes of text that one step of an Arrow function looks at together; a longer text comes alone.
 SLICE_BYTES = 2 << 20
@@ -237,13 +236,15 @@ def join_split(left: DataFrame, right: DataFrame, key: str, spread: str, how: st
     are cheaper to read."""
     counts = (left if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n"))
     most = counts.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(share)
-    top = most.collect()
-    limit = max(least, sum(r["_n"] for r in top) // share)
-    hot = [(r[key], -(-r["_n"] // limit)) for r in top if r["_n"] > limit]
-    if not hot:
+    top = most.toArrow()
+    n = top["_n"].to_numpy()
+    limit = max(least, int(n.sum()) // share)
+    hot = n > limit
+    if not hot.any():
         return left.join(right, key, how)
-    schema = StructType([most.schema[key], StructField("_salts", IntegerType())])
-    listed, salts = F.broadcast(left.sparkSession.createDataFrame(hot, schema)), F.coalesce("_salts", F.lit(1))
+    # From Arrow, not from rows: rows would start Python workers of another kind, which stay beside those of the Arrow functions.
+    hot_ = pa.table({key: top[key].filter(pa.array(hot)), "_salts": pa.array(-(-n[hot] // limit), pa.int32())})
+    listed, salts = F.broadcast(left.sparkSession.createDataFrame(hot_)), F.coalesce("_salts", F.lit(1))
     dealt = left.join(listed, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
     sent = right.join(listed, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return dealt.join(sent, [key, "_salt"], how).drop("_salt")

@@ -39,8 +39,8 @@ from .words import Words, mix
 WORDS, PERCENT = 5, 80
 #: Rounds of comparing with one set only; fragments that a pair's overlap is counted in.
 PIVOTS, PARTS = 2, 4
-#: Bytes of text that are cut up together; bytes of text whose shingles a fragment holds, about.
-SLICE, FRAGMENT = 8 << 20, 24 << 20
+#: Bytes of text that are cut up together (a worker's arrays take some 20 times these); bytes of text whose shingles a fragment holds, about.
+SLICE, FRAGMENT = 2 << 20, 24 << 20
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:

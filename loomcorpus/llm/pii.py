@@ -183,7 +183,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     once = common.arrow(_hashed(docs), run, "hash long, numbers array<int>").where(F.size("numbers") > 0).groupBy("hash").agg(F.first("numbers").alias("numbers"))
     counted = once.select(F.explode("numbers").alias("number")).groupBy("number").agg(F.count("*").alias("held"))
-    names = docs.sparkSession.createDataFrame(list(number.items()), "term string, number int")
+    names = docs.sparkSession.createDataFrame(pa.table({"term": pa.array(wanted, pa.string()), "number": pa.array(range(len(wanted)), pa.int32())}))
     return counted.join(names, "number").select("term", "held")
 
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -718,6 +719,52 @@ def test_workers_give_memory_back(spark):
     assert rss() < before + (32 << 20)
 
 
+def test_cutting_into_fragments_takes_little_memory():
+    """A worker takes a bounded number of bytes for the texts of a batch, however many the JVM sends at a time."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(50_000)]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(3500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], ["doc_id", "text", "mark"])
+    assert batch.column(1).nbytes > 7 << 20
+    next(jaccard._split(12, 5)(iter([batch.slice(0, 10)])))  # what is made once
+    tracemalloc.start()
+    counts = [0] * len(texts)
+    for out in jaccard._split(12, 5)(iter([batch])):
+        for row in out.to_pylist():
+            if row["kind"] == 1:
+                for i, n in zip(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8"), strict=True):
+                    counts[i] += n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == [396] * len(texts)
+    assert peak < 64 << 20
+
+
+def _leaves(df, column):
+    """The plan's lines that read local rows with a column of this name."""
+    lines = [x for x in df._jdf.queryExecution().analyzed().toString().splitlines() if f"{column}#" in x and re.search("RDD|LocalRelation", x)]
+    assert lines
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("key", ["k", "cast(k AS string)", "struct(k, k % 3 AS m)"])
+def test_hot_keys_start_no_other_workers(spark, key):
+    """What is split is listed without Python rows, for which executors would start workers of another kind; the join stays whole."""
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(7)).when(F.col("id") < 2900, F.col("id") % 5).alias("k"), "id").select(F.expr(key).alias("key"), "id")
+    right = spark.range(9).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("x")).unionAll(spark.sql("SELECT 7, 71L")).select(F.expr(key).alias("key"), "x")
+    for how in ("inner", "left"):
+        got = common.join_split(left, right, "key", "id", how, least=100, share=5)
+        assert "RDD" not in _leaves(got, "_salts")
+        rows = lambda df: sorted(map(str, df.select("key", "id", "x").collect()))
+        assert rows(got) == rows(left.join(right, "key", how))
+
+
+def test_terms_are_numbered_without_other_workers(spark):
+    counted = pii.term_counts(docs_of(spark, ["alpha beta", "beta", "beta beta"]), spark.createDataFrame([("alpha",), ("beta",)], "term string"))
+    assert sorted(map(tuple, counted.collect())) == [("alpha", 1), ("beta", 3)]
+    assert "RDD" not in _leaves(counted, "number")
+
+
 ODD_ROWS = [(None, "some words that say nothing much " * 8, "a", None), (None, "some words that say nothing much " * 8, "a", None), (7, "other words of id seven, " * 9, "b", "en"), (7, "and a text of its own for it " * 9, "b", "en"), (8, None, None, None), (9, "", "b", "de"), (10, "w " * 30_000, "b", "en")]
 
 
