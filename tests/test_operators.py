@@ -98,6 +98,29 @@ def test_shard_search_equals_its_sql_where_the_best_hits_repeat_a_text(spark, tm
     assert sorted(map(tuple, got.collect())) == sorted(want) and 11 <= len(want) < 44
 
 
+def test_shard_search_keeps_the_hits_of_a_query_whose_id_is_repeated(spark, tmp_path):
+    # The query 20 stands four times: sixteen rows of its shard are its own, and its best hit is in that shard too.
+    x = np.random.default_rng(5).normal(size=(210, 8))
+    x[24] = x[20] + 0.01 * x[24]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in [*range(210), 20, 20, 20]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = plans.QUERIES["shard_search_merge"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL['shard_search_merge']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert [tuple(r) for r in got.where("query_id = 20").select("rank", "vec_id").collect()] == [(1, 24)]
+
+
+def test_own_rows_take_no_place_among_a_blocks_best(spark):
+    rows = spark.createDataFrame([(7, 0, [9.0])] * 30 + [(i, 0, [float(i)]) for i in range(7)], "vec_id long, shard long, embedding array<double>")
+    query = spark.createDataFrame([(7, [1.0])], "query_id long, embedding array<double>")
+    assert sorted(r["vec_id"] for r in retrieval.shard_hits(query, rows, 3, but_own=True).collect()) == [4, 5, 6]
+    assert [r["vec_id"] for r in retrieval.shard_hits(query, rows, 3).collect()] == [7, 7, 7]
+    assert not retrieval.shard_hits(query, rows.where("vec_id = 7"), 3, but_own=True).collect()
+
+
 def test_equal_vectors_tie_and_scores_add_up_in_order(spark):
     r = np.random.default_rng(3)
     x = np.repeat(r.normal(size=(40, 67)), 9, 0).astype(np.float32)[r.permutation(360)]
